@@ -99,7 +99,7 @@ def g50_o50(og: DataFrame) -> DataFrame:
     reached = F.col("cum_members") >= half
     missing = half - (F.col("cum_members") - F.col("members"))
     needed = F.col("cum_groups") - F.col("groups") + F.ceil(missing / F.col("size"))
-    return steps.where(reached).agg(F.max("size").alias("g50"), F.min(needed).cast("bigint").alias("o50"))
+    return steps.where(reached).agg(F.max("size").alias("g50"), F.max_by(needed, "size").cast("bigint").alias("o50"))
 
 
 def ortholog_multiplicity(pairs: DataFrame) -> DataFrame:

@@ -43,18 +43,19 @@ def running_sums(
     by: Sequence[str],
     order: Sequence[str],
     measures: dict[str, Column],
-    descending: bool = False,
+    descending: bool | Sequence[str] = False,
     large: bool | None = None,
 ) -> DataFrame:
     """One row per distinct ``order`` value of each group, with for each measure
     ``m`` its aggregate ``m``, the inclusive running sum ``cum_m`` and the group
-    sum ``total_m``.
+    sum ``total_m``. ``descending`` may name the columns that go downwards.
     """
     by, order = list(by), list(order)
     names = list(measures)
     large = _is_large(df, by, large)
     steps = df.groupBy(*by, *order).agg(*[c.alias(m) for m, c in measures.items()])
-    ordered = [_directed(c, descending) for c in order]
+    down = set(descending) if not isinstance(descending, bool) else set(order) if descending else set()
+    ordered = [_directed(c, c in down) for c in order]
     cells = list(by)
     if large:
         steps = steps.repartitionByRange(*[F.col(c) for c in by], *ordered)
@@ -146,10 +147,11 @@ def sequence_number(
         keys = [_directed(c, descending) for c in order] + [F.col(c) for c in rest]
         numbered = F.row_number().over(Window.partitionBy(*by).orderBy(*keys))
         return df.withColumn(name, (numbered - 1 + start).cast("bigint"))
-    steps = running_sums(df, by, [*order, *rest], {"_n": F.count(F.lit(1))}, descending, large=True)
+    down = order if descending else []
+    steps = running_sums(df, by, [*order, *rest], {"_n": F.count(F.lit(1))}, down, large=True)
     first = F.col("cum__n") - F.col("_n")
     chunk = F.explode(F.sequence(first, F.col("cum__n") - 1, F.lit(CHUNK_ROWS)))
     blocks = steps.withColumn("_first", chunk)
     blocks = blocks.repartition(F.col("_first"), *[F.col(c) for c in order])
     last = F.least(F.col("_first") + CHUNK_ROWS, F.col("cum__n")) - 1
-    return blocks.select(*df.columns, (F.explode(F.sequence("_first", last)) + start).alias(name))
+    return blocks.select(*df.columns, F.explode(F.sequence(F.col("_first") + start, last + start)).alias(name))

@@ -11,9 +11,11 @@ from ..functions.columns import safe_name
 def write_results(df: DataFrame, path: str, target: str = "target") -> None:
     """One table for all targets, partitioned by the file-safe target name.
 
-    Rows of a target stay in the tasks that hold them; nothing is gathered.
+    Rebalancing on the target first gives few files per target, while AQE still
+    splits a target that is too large for one task.
     """
-    df.withColumn(target, safe_name(target)).write.partitionBy(target).mode("append").parquet(path)
+    named = df.withColumn(target, safe_name(target)).hint("rebalance", target)
+    named.write.partitionBy(target).mode("append").parquet(path)
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
