@@ -44,8 +44,8 @@ def category_proportions(pairs: DataFrame, group_col: str = "side") -> DataFrame
         F.count_if(F.col(group_col) == "above").alias("n_above"),
         F.count_if(F.col(group_col) == "below").alias("n_below"),
     )
-    totals = counts.agg(F.sum("n_above").alias("a"), F.sum("n_below").alias("b"))
-    above, below = totals.select("a").scalar(), totals.select("b").scalar()
+    totals = counts.agg(F.struct(F.sum("n_above").alias("a"), F.sum("n_below").alias("b")).alias("t")).scalar()
+    above, below = totals["a"], totals["b"]
     shares = counts.select(
         "feature_cat", "n_above", "n_below",
         (F.nullif(F.col("n_above"), F.lit(0)) / above).alias("above_thresh"),
@@ -76,7 +76,11 @@ def drop_singletons(long: DataFrame) -> DataFrame:
 
 
 def join_strings(df: DataFrame, key: str, col: str, sep: str = " ") -> DataFrame:
-    """The distinct values of each key in one cell, in text order."""
+    """The distinct values of each key in one cell, in text order.
+
+    The cell is the result, so a key whose values exceed the 2 GB of a cell
+    cannot be written this way; ``indicator`` keeps the same facts as rows.
+    """
     once = df.select(key, col).distinct()
     return once.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list(col)), sep).alias(col))
 
@@ -112,17 +116,19 @@ def histogram(df: DataFrame, col: str, bins: int, by: str | None = None) -> Data
     """
     keys = [by] if by else []
     present = df.where(F.col(col).isNotNull())
-    ends = present.groupBy(*keys).agg(
-        F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi")
-    )
-    flat = F.when(F.col("lo") == F.col("hi"), F.lit(0.5)).otherwise(F.lit(0.0))
-    ends = ends.select(*keys, (F.col("lo") - flat).alias("lo"), (F.col("hi") + flat).alias("hi"))
     # Equal values are counted once before any join or shuffle on the group.
     values = present.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("n"))
+    # The condition on n holds always; it keeps the column in the plan, so the
+    # range and the counts read the same shuffle.
+    ends = values.groupBy(*keys).agg(
+        F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"), F.sum("n").alias("n")
+    ).where("n > 0")
+    flat = F.when(F.col("lo") == F.col("hi"), F.lit(0.5)).otherwise(F.lit(0.0))
+    ends = ends.select(*keys, (F.col("lo") - flat).alias("lo"), (F.col("hi") + flat).alias("hi"))
     if by:
         placed = null_safe_join(values, ends, keys)
     else:
-        placed = values.withColumns({c: ends.select(c).scalar() for c in ("lo", "hi")})
+        placed = values.withColumn("_ends", ends.select(F.struct("lo", "hi")).scalar()).select("*", "_ends.*")
     place = F.floor((F.col(col) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
     counted = placed.groupBy(*keys, F.least(place + 1, F.lit(bins)).cast("int").alias("bin")).agg(
         F.sum("n").alias("n")
@@ -141,13 +147,14 @@ def histogram(df: DataFrame, col: str, bins: int, by: str | None = None) -> Data
 def box_summary(df: DataFrame, col: str, by: str | None = None) -> DataFrame:
     """Quartiles, whiskers (furthest values within 1.5 IQR) and outlier count."""
     keys = [by] if by else []
-    boxes = quantiles(df, keys, col, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    reach = (F.col("q3") - F.col("q1")) * 1.5
     values = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_n"))
+    boxes = quantiles(values, keys, col, {"q1": 0.25, "median": 0.5, "q3": 0.75}, weight="_n")
+    reach = (F.col("q3") - F.col("q1")) * 1.5
     if by:
         placed = null_safe_join(values, boxes, keys)
     else:
-        placed = values.withColumns({c: boxes.select(c).scalar() for c in ("n", "q1", "median", "q3")})
+        box = boxes.select(F.struct("n", "q1", "median", "q3")).scalar()
+        placed = values.withColumn("_box", box).select("*", "_box.*")
     inside = (F.col(col) >= F.col("q1") - reach) & (F.col(col) <= F.col("q3") + reach)
     return placed.groupBy(*keys).agg(
         *[F.max(c).alias(c) for c in ("n", "q1", "median", "q3")],

@@ -93,16 +93,10 @@ def mcl(
         squared = left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("p"))
         inflated = _normalised(squared.withColumn("p", F.pow("p", F.lit(float(inflation)))))
         stepped = checkpointed(_normalised(inflated.where(F.col("p") >= eps)))
-        change = (
-            stepped.withColumn("s", F.lit(1))
-            .unionByName(cells.withColumn("s", F.lit(-1)))
-            .groupBy("i", "j")
-            .agg(F.abs(F.sum(F.col("p") * F.col("s"))).alias("d"))
-            .agg(F.max("d"))
-            .first()[0]
-        )
         cells = stepped
-        if (change or 0.0) < tol:
+        # A column has settled when all its cells are equal.
+        spread = stepped.groupBy("j").agg((F.max("p") - F.sum(F.col("p") * F.col("p"))).alias("d"))
+        if (spread.agg(F.max("d")).first()[0] or 0.0) < tol:
             break
     # Columns and the rows that attract them form the clusters.
     linked = components(cells.where(F.col("p") > eps).select(F.col("i").alias("src"), F.col("j").alias("dst")))

@@ -97,14 +97,21 @@ def naive_bayes(kind: str = "gaussian", weight=None, **extra) -> NaiveBayes:
 def poisson_weight(mean: float | Column, seed, key: str) -> Column:
     """Poisson draw from the md5 of ``seed|key`` by inverting the distribution."""
     mean = F.lit(float(mean)) if not isinstance(mean, Column) else mean
-    u = hash_unit(seed, key)
-    term = F.exp(-mean)
-    below, draw = term, F.lit(0)
-    for i in range(1, POISSON_TERMS + 1):
-        draw = draw + F.when(u >= below, 1).otherwise(0)
-        term = term * mean / i
-        below = below + term
-    return draw.cast("double")
+    # state: the uniform number, the rate, the current term, the sum of the terms, the draw
+    start = F.struct(
+        hash_unit(seed, key).alias("u"), mean.alias("rate"), F.exp(-mean).alias("term"), F.exp(-mean).alias("below"),
+        F.lit(0.0).alias("draw"),
+    )
+
+    def step(s: Column, i: Column) -> Column:
+        term = s["term"] * s["rate"] / i
+        return F.struct(
+            s["u"].alias("u"), s["rate"].alias("rate"), term.alias("term"), (s["below"] + term).alias("below"),
+            F.when(s["u"] >= s["below"], s["draw"] + 1).otherwise(s["draw"]).alias("draw"),
+        )
+
+    terms = F.sequence(F.lit(1), F.lit(POISSON_TERMS)).cast("array<double>")
+    return F.aggregate(terms, start, step, lambda s: s["draw"])
 
 
 def _bagged(df: DataFrame, n_trees: int, mean, seed, key: str, make_tree, class_weight: str | None = None) -> DataFrame:

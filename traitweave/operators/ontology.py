@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,21 +14,28 @@ from ..session import checkpointed
 MERGE_EVERY = 8
 
 
-def ancestors(edges: DataFrame) -> DataFrame:
-    """All ``(term, relative)`` with ``relative`` above ``term``.
+def _steps(edges: DataFrame, sides: Sequence[str]) -> DataFrame:
+    """``(side, term, relative)``: the edges read upwards, downwards or both."""
+    once = edges.select("child", "parent").where("child <> parent").distinct()
+    up = F.struct(F.lit("ancestor").alias("side"), F.col("child").alias("term"), F.col("parent").alias("relative"))
+    down = F.struct(F.lit("descendant").alias("side"), F.col("parent").alias("term"), F.col("child").alias("relative"))
+    read = [{"ancestor": up, "descendant": down}[s] for s in sides]
+    return checkpointed(once.select(F.explode(F.array(*read)).alias("s")).select("s.*"))
+
+
+def _walk(steps: DataFrame, found: DataFrame) -> DataFrame:
+    """Everything reached from ``found`` along ``steps``.
 
     Semi-naive: each round joins only the pairs found in the round before with
-    the edges and keeps those not seen yet. Every round is written out, so the
+    the steps and keeps those not seen yet. Every round is written out, so the
     plan stays short and a lost executor costs no more than one round.
     """
-    edges = checkpointed(edges.select("child", "parent").where("child <> parent").distinct())
-    step = edges.withColumnsRenamed({"child": "relative", "parent": "up"})
-    found = edges.select(F.col("child").alias("term"), F.col("parent").alias("relative"))
+    onwards = steps.withColumnsRenamed({"term": "relative", "relative": "next"})
     frontier, rounds = found, 0
     while True:
-        reached = frontier.join(step, "relative").select("term", F.col("up").alias("relative")).distinct()
-        reached = reached.where("term <> relative").join(found, ["term", "relative"], "left_anti")
-        frontier = checkpointed(reached)
+        reached = frontier.join(onwards, ["side", "relative"]).select("side", "term", F.col("next").alias("relative"))
+        reached = reached.where("term <> relative").distinct()
+        frontier = checkpointed(reached.join(found, ["side", "term", "relative"], "left_anti"))
         if frontier.isEmpty():
             return found
         found, rounds = found.unionByName(frontier), rounds + 1
@@ -34,6 +43,12 @@ def ancestors(edges: DataFrame) -> DataFrame:
             found = checkpointed(found)
 
 
+def ancestors(edges: DataFrame) -> DataFrame:
+    """All ``(term, relative)`` with ``relative`` above ``term``."""
+    steps = _steps(edges, ["ancestor"])
+    return _walk(steps, steps).select("term", "relative")
+
+
 def closure(edges: DataFrame, direction: str = "both") -> DataFrame:
     """``(term, relative, side)`` with side ``ancestor`` or ``descendant``.
 
@@ -56,15 +71,17 @@ def exclusions(
 ) -> DataFrame:
     """``(target, feature)``: what each target's training set must not contain.
 
-    Made for all targets at once. Targets are feature names; their terms are
-    the names without the prefix.
+    Made for all targets at once; only what is above or below a target is
+    walked. Targets are feature names; their terms are the names without the
+    prefix.
     """
-    wanted = targets.select("target").distinct().where(F.col("target").startswith(prefix))
-    wanted = wanted.withColumn("term", F.substring(F.col("target"), len(prefix) + 1, 2**31 - 1))
-    related = closure(edges).withColumn("term", F.col("term").cast("string"))
-    relatives = related.join(wanted, "term").select(
-        "target", F.concat(F.lit(prefix), F.col("relative").cast("string")).alias("feature")
-    )
+    wanted = targets.select("target").where(F.col("target").startswith(prefix)).distinct()
+    terms = wanted.select(F.substring(F.col("target"), len(prefix) + 1, 2**31 - 1).alias("term"))
+    named = edges.select(F.col("child").cast("string"), F.col("parent").cast("string"))
+    steps = _steps(named, ["ancestor", "descendant"])
+    related = _walk(steps, checkpointed(steps.join(terms, "term", "left_semi")))
+    full = [F.concat(F.lit(prefix), F.col(c)) for c in ("term", "relative")]
+    relatives = related.select(full[0].alias("target"), full[1].alias("feature"))
     if include_self:
         relatives = relatives.unionByName(targets.select("target", F.col("target").alias("feature")))
     return relatives.distinct()

@@ -154,9 +154,8 @@ def encode_minority(df: DataFrame, label: str, name: str = "y") -> DataFrame:
     """1 for the rarest label, 0 for the commonest; equal counts go by label order."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     order = F.struct("n", label)
-    rare = counts.agg(F.min_by(label, order)).scalar()
-    common = counts.agg(F.max_by(label, order)).scalar()
-    return df.withColumn(name, F.when(F.col(label) == rare, 1).when(F.col(label) == common, 0))
+    ends = counts.agg(F.struct(F.min_by(label, order).alias("rare"), F.max_by(label, order).alias("common"))).scalar()
+    return df.withColumn(name, F.when(F.col(label) == ends["rare"], 1).when(F.col(label) == ends["common"], 0))
 
 
 def with_duration(df: DataFrame, start: str, end: str, name: str = "seconds") -> DataFrame:

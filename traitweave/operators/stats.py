@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.hashing import number_by_hash
 from ..plans.joins import BROADCAST_ROWS
+from ..session import checkpointed
 
 
 def permutation_test(props: DataFrame, n: int = 10000, seed=42) -> DataFrame:
@@ -16,9 +17,9 @@ def permutation_test(props: DataFrame, n: int = 10000, seed=42) -> DataFrame:
     round permutes both proportion columns independently. A missing difference
     never counts as exceeded.
     """
+    placed = checkpointed(number_by_hash(props, [], ["feature_cat"], f"{seed}:place", "pos"))
     # Small tables need no buckets within a round.
-    digits = 0 if props.count() <= BROADCAST_ROWS else 3
-    placed = number_by_hash(props, [], ["feature_cat"], f"{seed}:place", "pos")
+    digits = 0 if placed.count() <= BROADCAST_ROWS else 3
     rounds = placed.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(n))))
 
     def mixed(col: str):

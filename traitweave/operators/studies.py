@@ -92,7 +92,9 @@ def run_once(
     if shuffled:
         train = shuffle_columns(train, key, [*cont, *cat], f"{seed}:shuffle")
     test = parts.where("part = 'test'")
+    train = train.persist()
     model = preprocessor(cont, cat, estimator).fit(train)
+    train.unpersist()
     return model, test, prediction_table(model, test, key)
 
 

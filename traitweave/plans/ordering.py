@@ -99,18 +99,25 @@ def average_rank(
 
 
 def quantiles(
-    df: DataFrame, by: Sequence[str], col: str, probs: dict[str, float], large: bool | None = None
+    df: DataFrame, by: Sequence[str], col: str, probs: dict[str, float], large: bool | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles per group, NULLs ignored."""
+    """Exact linearly interpolated quantiles per group, NULLs ignored.
+
+    ``weight`` names a column that says how many times a row counts.
+    """
+    size = F.sum(weight) if weight else F.count(F.lit(1))
     by = list(by)
     present = df.where(F.col(col).isNotNull())
     if not _is_large(present, by, large):
         found = present.groupBy(*by).agg(
-            F.percentile(col, F.array(*[F.lit(p) for p in probs.values()])).alias("_q"),
-            F.count(F.lit(1)).alias("n"),
+            F.percentile(
+                col, F.array(*[F.lit(p) for p in probs.values()]), F.col(weight) if weight else F.lit(1)
+            ).alias("_q"),
+            size.alias("n"),
         )
         return found.select(*by, "n", *[F.col("_q")[i].alias(m) for i, m in enumerate(probs)])
-    steps = running_sums(present, by, [col], {"_n": F.count(F.lit(1))}, large=True)
+    steps = running_sums(present, by, [col], {"_n": size}, large=True)
     upper, lower, size = F.col("cum__n"), F.col("cum__n") - F.col("_n"), F.col("total__n")
     picks = []
     for name, p in probs.items():

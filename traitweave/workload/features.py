@@ -149,11 +149,11 @@ def _drop_features(spark, sf):
 
 
 def _expected(spark, sf):
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("target"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("target"))
 
 
 def _done(spark, sf):
-    return table(spark, sf, "orders").select(F.col("o_custkey").alias("target"))
+    return _items(spark, sf).select(F.col("l_orderkey").alias("target"))
 
 
 def _labels(spark, sf):
@@ -328,12 +328,12 @@ QUERIES = {
     ),
     "missing_targets": (
         lambda spark, sf: J.missing_targets(_expected(spark, sf), _done(spark, sf)),
-        "SELECT c_custkey AS target FROM customer EXCEPT SELECT o_custkey FROM orders",
+        "SELECT o_orderkey AS target FROM orders EXCEPT SELECT l_orderkey FROM lineitem",
     ),
     "completeness": (
         lambda spark, sf: J.completeness(_expected(spark, sf), _done(spark, sf)),
-        """SELECT (SELECT count(DISTINCT c_custkey) FROM customer) AS n_expected, (SELECT count(DISTINCT o_custkey) FROM orders) AS n_done,
-        (SELECT count(*) FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders)) AS n_missing""",
+        """SELECT (SELECT count(DISTINCT o_orderkey) FROM orders) AS n_expected, (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS n_done,
+        (SELECT count(*) FROM (SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem)) AS n_missing""",
     ),
     "subexperiments": (lambda spark, sf: J.expand_subexperiments(_labels(spark, sf)), SUBEXPERIMENTS_SQL),
     "stack_rows": (

@@ -81,7 +81,7 @@ def knn_sql(p: int, weights: str) -> str:
     return f"""WITH num AS (SELECT vec_id AS key, label, CAST(embedding AS DOUBLE[]) AS vec,
       row_number() OVER (PARTITION BY label ORDER BY {hash_sql(SEED, 'vec_id')}) AS r, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
     d AS (SELECT a.key AS key, b.key AS id, b.label,
-            pow(list_sum(list_transform(range(1, len(a.vec) + 1), i -> pow(abs(a.vec[i] - b.vec[i]), {p}))), 1.0 / {p}) AS dist
+            pow(list_sum(list_transform(range(1, len(a.vec) + 1), lambda i: pow(abs(a.vec[i] - b.vec[i]), {p}))), 1.0 / {p}) AS dist
           FROM num a, num b WHERE a.r <= round(a.n * 0.1) AND b.r > round(b.n * 0.1)),
     near AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY dist, id) AS place FROM d),
     w AS (SELECT key, label, sum({'1.0' if weights == 'uniform' else '1.0 / dist'}) AS w FROM near WHERE place <= 5 GROUP BY 1, 2)
@@ -116,7 +116,8 @@ def _documents(spark, sf):
 def _ready(spark, sf):
     """Documents as vectors, preprocessed on all rows."""
     wide = _documents(spark, sf)
-    return prep.preprocessor(CONTINUOUS, CATEGORICAL).fit(wide).transform(wide).select("key", "label", "features")
+    rows = prep.preprocessor(CONTINUOUS, CATEGORICAL).fit(wide).transform(wide).select("key", "label", "features")
+    return prep.with_balanced_weight(rows, "label")
 
 
 def _pipeline_saved(spark, sf):
@@ -155,45 +156,52 @@ def _regressor(spark, sf):
     return E.r_squared(E.prediction_table(model, rows))
 
 
+def _complement(spark, sf):
+    """Needs counts: words and lines of documents as they are."""
+    cols = ["pep_words", "pep_lines", *CATEGORICAL]
+    rows = VectorAssembler(inputCols=cols, outputCol="features").transform(_documents(spark, sf)).select("key", "label", "features")
+    return E.prf(E.confusion(E.prediction_table(M.naive_bayes("complement").fit(rows), rows)))
+
+
 def _grid(spark, sf):
     rows = with_folds(_ready(spark, sf), "label", "key", 3, SEED).persist()
     grid = {"numTrees": [3, 5], "maxDepth": [3, 5]}
-    return TU.grid_search(rows, M.rf_classifier(**SMALL), grid, "fold").results
+    return TU.grid_search(rows, M.rf_classifier(**SMALL, weight="weight"), grid, "fold").results
 
 
 def _random(spark, sf):
     rows = with_folds(_ready(spark, sf), "label", "key", 3, SEED).persist()
     grid = {"numTrees": [3, 5, 8], "maxDepth": [2, 3, 5], "minInfoGain": [0.0, 0.001, 0.001]}
-    return TU.random_search(rows, M.rf_classifier(**SMALL), grid, 4, SEED, "fold", "precision").results
+    return TU.random_search(rows, M.rf_classifier(**SMALL, weight="weight"), grid, 4, SEED, "fold", "precision").results
 
 
 def _drawn(spark, sf):
     rows = with_folds(_ready(spark, sf), "label", "key", 3, SEED).persist()
     dists = {"regParam": ("loguniform", 1e-4, 1e-1), "maxIter": ("int", 10, 30)}
     candidates = TU.draw_params(dists, 3, SEED)
-    return TU.search(rows, M.logistic(rows.count()), candidates, "fold").results
+    return TU.search(rows, M.logistic(rows.count(), weight="weight"), candidates, "fold").results
 
 
 def _nested(spark, sf):
     rows = _ready(spark, sf).persist()
-    models = {"tree": (M.decision_tree(max_depth=4), {"maxDepth": [2, 4]})}
+    models = {"tree": (M.decision_tree(max_depth=4, weight="weight"), {"maxDepth": [2, 4]})}
     return TU.nested_cv(rows, models, outer=3, inner=2, n_iter=2, seed=SEED)
 
 
 def _compare(spark, sf):
     rows = with_folds(_ready(spark, sf), "label", "key", 3, SEED).persist()
-    models = {"tree": M.decision_tree(max_depth=4), "forest": M.rf_classifier(**SMALL)}
+    models = {"tree": M.decision_tree(max_depth=4, weight="weight"), "forest": M.rf_classifier(**SMALL, weight="weight")}
     return TU.compare_models(rows, models, "fold")
 
 
 def _importance(spark, sf):
     rows = _ready(spark, sf)
-    return ST.importance_table(spark, M.rf_classifier(**SMALL).fit(rows), CONTINUOUS + CATEGORICAL)
+    return ST.importance_table(spark, M.rf_classifier(**SMALL, weight="weight").fit(rows), CONTINUOUS + CATEGORICAL)
 
 
 def _permutation(spark, sf):
     rows = _ready(spark, sf).persist()
-    model = M.rf_classifier(**SMALL).fit(rows)
+    model = M.rf_classifier(**SMALL, weight="weight").fit(rows)
     return ST.permutation_importance(model, rows, CONTINUOUS + CATEGORICAL, 3, SEED)
 
 
@@ -206,7 +214,7 @@ def _blocks(spark, sf):
 
 
 def _curve(spark, sf):
-    return ST.learning_curve(_ready(spark, sf).persist(), M.decision_tree(max_depth=4), [0.3, 0.6, 1.0], 2, SEED)
+    return ST.learning_curve(_ready(spark, sf).persist(), M.decision_tree(max_depth=4, weight="weight"), [0.3, 0.6, 1.0], 2, SEED)
 
 
 def _repeated(spark, sf):
@@ -272,6 +280,7 @@ QUERIES = {
     "linear_svm": (_fitted(lambda t: M.linear_svm(t.count(), 1.0, 50, "weight").fit(t)), None),
     "multilayer_perceptron": (_fitted(lambda t: M.mlp(64, 2, 50, 30).fit(t)), None),
     "gaussian_naive_bayes": (_fitted(lambda t: M.naive_bayes("gaussian", "weight").fit(t)), None),
+    "complement_naive_bayes": (_complement, None),
     "saved_pipeline_predictions": (_pipeline_saved, None),
     "grid_search": (_grid, None),
     "random_search": (_random, None),
