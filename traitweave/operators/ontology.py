@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..plans.joins import broadcast_small
 from ..session import checkpointed
 
 # Every how many rounds the closure found so far is merged into one table.
@@ -30,7 +31,7 @@ def _walk(steps: DataFrame, found: DataFrame) -> DataFrame:
     the steps and keeps those not seen yet. Every round is written out, so the
     plan stays short and a lost executor costs no more than one round.
     """
-    onwards = steps.withColumnsRenamed({"term": "relative", "relative": "next"})
+    onwards = broadcast_small(steps, steps.count()).select("side", F.col("term").alias("relative"), F.col("relative").alias("next"))
     frontier, rounds = found, 0
     while True:
         reached = frontier.join(onwards, ["side", "relative"]).select("side", "term", F.col("next").alias("relative"))

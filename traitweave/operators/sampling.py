@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.hashing import hash_int, hash_unit, md5_of, number_by_hash
-from ..plans.joins import BROADCAST_ROWS
+from ..plans.joins import broadcast_small
 from .neighbours import nearest
 
 
@@ -48,18 +48,13 @@ def undersample(df: DataFrame, label: str, key, seed, n: int | None = None) -> D
     return number_by_hash(df, [label], _keys(key), seed, "_rank", limit=smallest).drop("_rank")
 
 
-def _small(df: DataFrame, n_rows: int) -> DataFrame:
-    """Broadcast a table whose counted size allows it."""
-    return F.broadcast(df) if n_rows <= BROADCAST_ROWS else df
-
-
 def oversample(df: DataFrame, label: str, key, minority, n: int, seed) -> DataFrame:
     """Replace the minority rows by ``n`` draws with replacement."""
     few = df.where(F.col(label) == F.lit(minority))
     size = few.count()
     pool = number_by_hash(few, [], _keys(key), seed, "_rank")
     draws = df.sparkSession.range(n).select((hash_int(seed, "id") % size + 1).alias("_rank"))
-    drawn = draws.join(_small(pool, size), "_rank").select(*df.columns)
+    drawn = draws.join(broadcast_small(pool, size), "_rank").select(*df.columns)
     return df.where(~F.col(label).eqNullSafe(F.lit(minority))).unionByName(drawn)
 
 
@@ -136,9 +131,9 @@ def smote_nc(
         hash_int(f"{seed}:pick", "id").alias("_pick"),
         hash_unit(f"{seed}:gap", "id").alias("_gap"),
     )
-    made = draws.join(_small(base, few), "_rank").withColumn("place", (F.col("_pick") % F.col("_k") + 1).cast("int"))
+    made = draws.join(broadcast_small(base, few), "_rank").withColumn("place", (F.col("_pick") % F.col("_k") + 1).cast("int"))
     ends = neighbours.select(key, "place", *[f"_o_{c}" for c in cont])
-    made = made.join(_small(ends, few * k), [key, "place"])
+    made = made.join(broadcast_small(ends, few * k), [key, "place"])
     values = {c: F.col(c) + F.col("_gap") * (F.col(f"_o_{c}") - F.col(c)) for c in cont}
     values |= {c: F.col(f"_m_{c}") for c in cat}
     synthetic = made.select(

@@ -13,6 +13,11 @@ from ..session import checkpointed
 BROADCAST_ROWS = 100_000
 
 
+def broadcast_small(df: DataFrame, n_rows: int) -> DataFrame:
+    """Broadcast a table whose counted size allows it."""
+    return F.broadcast(df) if n_rows <= BROADCAST_ROWS else df
+
+
 def _renamed(table: DataFrame, keys: list[str]) -> DataFrame:
     return table.withColumnsRenamed({k: f"__{k}" for k in keys})
 
