@@ -88,8 +88,10 @@ def average_rank(
     """Rank within ``by``; ties share the mean of their ranks, NULL has none."""
     by = list(by)
     if not _is_large(df, by, large):
-        first = F.rank().over(Window.partitionBy(*by).orderBy(_directed(col, descending)))
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*by, col))
+        ordered = Window.partitionBy(*by).orderBy(_directed(col, descending))
+        first = F.rank().over(ordered)
+        # The frame of equal values: ranks and ties come from one sort.
+        ties = F.count(F.lit(1)).over(ordered.rangeBetween(Window.currentRow, Window.currentRow))
         return df.withColumn(name, F.when(F.col(col).isNotNull(), first + (ties - 1) / F.lit(2.0)))
     steps = running_sums(
         df.where(F.col(col).isNotNull()), by, [col], {"_n": F.count(F.lit(1))}, descending, large=True
