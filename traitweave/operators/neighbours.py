@@ -87,10 +87,12 @@ def nearest(
     if p < 1:
         raise ValueError("the triangle inequality needs p >= 1")
     need = k + 1 if exclude_self else k
-    n_train = train.count()
-    n_pivots = min(MAX_PIVOTS, max(1, int(n_train**0.5)))
+    # A training row may have to go to every cell, so cells are not made smaller
+    # than a good part of a block of queries.
+    n_pivots = max(1, min(MAX_PIVOTS, int(train.count() ** 0.5), 4 * queries.count() // BLOCK_ROWS))
     # At most MAX_PIVOTS rows come to the driver.
     pivots = train.orderBy(md5_of("pivot", "id")).limit(n_pivots).toPandas()
+    n_pivots = len(pivots)
     if pivots.empty:
         schema = f"query {queries.schema['id'].dataType.simpleString()}, {_field(train, 'id')}, dist double, place int"
         return queries.sparkSession.createDataFrame([], schema)
