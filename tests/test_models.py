@@ -36,7 +36,7 @@ def _auc(model, rows):
 
 def test_models_learn_and_null_model_does_not(wide, rows_):
     mixed = ST.shuffle_columns(wide, "key", ["a", "b", "c", "d"], 3)
-    mixed = VectorAssembler(inputCols=["a", "b", "c", "d"], outputCol="features").transform(mixed)
+    mixed = VectorAssembler(inputCols=["a", "b", "c", "d"], outputCol="features").transform(mixed).persist()
     makers = [
         lambda: M.rf_classifier(5, max_depth=3), lambda: M.decision_tree(3), lambda: M.gbt(3),
         lambda: M.logistic(200), lambda: M.linear_svm(200, max_iter=20), lambda: M.naive_bayes(), lambda: M.mlp(4, hidden=5, max_iter=30),

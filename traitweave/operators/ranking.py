@@ -12,10 +12,16 @@ from ..plans.ordering import average_rank, running_sums, sequence_number
 from .reshape import zero_to_null
 
 
-def rank_desc_average(df: DataFrame, by: str | Sequence[str], col: str, name: str = "rank") -> DataFrame:
-    """Descending rank within ``by``; ties share their mean rank, NULL has none."""
+def rank_desc_average(
+    df: DataFrame, by: str | Sequence[str], col: str, name: str = "rank", large: bool | None = None
+) -> DataFrame:
+    """Descending rank within ``by``; ties share their mean rank, NULL has none.
+
+    ``large`` says whether a group may be too big for one task; when it is not
+    given, the largest group is counted first.
+    """
     by = [by] if isinstance(by, str) else list(by)
-    return average_rank(df, by, col, name)
+    return average_rank(df, by, col, name, large=large)
 
 
 def _pair_mean(cells: DataFrame, value: str, name: str) -> DataFrame:
@@ -41,14 +47,14 @@ def mutual_rank(ranks: DataFrame) -> DataFrame:
     return _pair_mean(ranks, "rank", "MR")
 
 
-def mutual_rank_nonzero(importances: DataFrame) -> DataFrame:
+def mutual_rank_nonzero(importances: DataFrame, large: bool | None = None) -> DataFrame:
     """Importances ``(f1 feature, f2 target, v)`` to mutual ranks without zeros.
 
     The zeros, nearly all cells of an importance matrix, are filtered before
     the rank shuffle: an absent row has no rank, just as a NULL one.
     """
     present = zero_to_null(importances, "v").where(F.col("v").isNotNull())
-    return mutual_rank(rank_desc_average(present, "f2", "v"))
+    return mutual_rank(rank_desc_average(present, "f2", "v", large=large))
 
 
 def geometric_mean_importance(importances: DataFrame) -> DataFrame:

@@ -66,7 +66,7 @@ def _embedded(spark, sf):
     rows = table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("key"), F.col("embedding").cast("array<double>").alias("vec"), "label"
     )
-    return stratified_holdout(rows, "label", "key", 0.1, SEED)
+    return stratified_holdout(rows, "label", "key", 0.1, SEED).persist()
 
 
 def _knn(p, weights):
