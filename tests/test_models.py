@@ -120,6 +120,10 @@ def test_targets_are_leak_safe(spark, tmp_path):
     edges = spark.createDataFrame([("b", "a")], "child STRING, parent STRING")
     targets = spark.createDataFrame([("go_a",)], "target STRING")
     excluded = T.exclusions(targets, edges)
-    importance, scores = ST.train_targets(long, ["go_a"], excluded, {"max_depth": 3}, 3, 2, path=str(tmp_path / "t"))
-    assert {r["feature"] for r in importance.collect()} == {"pfa_x", "pfa_y"}
-    assert scores.count() == 1 and scores.first()["f1"] == 1.0
+    out = ST.train_targets(long, ["go_a"], excluded, {"max_depth": 3}, 3, 2, path=str(tmp_path / "t"))
+    assert {r["feature"] for r in out.importance.collect()} == {"pfa_x", "pfa_y"}
+    assert out.scores.count() == 1 and out.scores.first()["f1"] == 1.0
+    tuned = ST.train_targets(
+        long, ["go_a"], excluded, None, 2, 2, path=str(tmp_path / "u"), grid={"maxDepth": [1, 2], "numTrees": [2]}, n_iter=2, folds=2
+    )
+    assert tuned.search.count() == 2 and tuned.scores.first()["f1"] == 1.0

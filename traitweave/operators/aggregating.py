@@ -91,18 +91,19 @@ def bounds(df: DataFrame, col: str) -> DataFrame:
 
 def missing_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Per column: rows, NULLs, zeros, ones and the share of zeros among values."""
-    cells = df.select(
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols])
-        ).alias("cell")
-    ).select("cell.*")
-    return cells.groupBy("column").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(F.col("v").isNull()).alias("n_null"),
-        F.count_if(F.col("v") == 0).alias("n_zero"),
-        F.count_if(F.col("v") == 1).alias("n_one"),
-        F.avg((F.col("v") == 0).cast("double")).alias("sparsity"),
-    )
+    # One aggregate row, turned into one row per column afterwards.
+    profiles = [
+        F.struct(
+            F.lit(c).alias("column"),
+            F.count(F.lit(1)).alias("n_rows"),
+            F.count_if(F.col(c).isNull()).alias("n_null"),
+            F.count_if(F.col(c) == 0).alias("n_zero"),
+            F.count_if(F.col(c) == 1).alias("n_one"),
+            F.avg((F.col(c) == 0).cast("double")).alias("sparsity"),
+        )
+        for c in cols
+    ]
+    return df.agg(F.array(*profiles).alias("p")).select(F.explode("p").alias("p")).select("p.*")
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:

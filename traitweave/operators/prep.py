@@ -83,9 +83,8 @@ def preprocessor(cont: Sequence[str], cat: Sequence[str], estimator: Estimator |
 def with_balanced_weight(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
     """Weight n / (classes * n_y)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
-    classes = counts.agg(F.count(F.lit(1))).scalar()
-    weights = counts.select(label, (total / (classes * F.col("n"))).alias(name))
+    share = counts.agg(F.sum("n") / F.count(F.lit(1))).scalar()
+    weights = counts.select(label, (share / F.col("n")).alias(name))
     return lookup_join(df, weights, [label])
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from datetime import datetime
 from functools import reduce
 
 from pyspark.ml import Estimator, Model
@@ -18,6 +20,13 @@ from .evaluation import confusion, prediction_table, prf, r_squared
 from .models import oob_evaluate, rf_classifier, rf_regressor
 from .prep import preprocessor, to_vectors, with_balanced_weight
 from .sampling import holdout_n_per_class, shuffle_features, undersample, with_folds
+from .tuning import random_search
+
+# Sizes of the growing feature blocks.
+BLOCKS = [*range(10, 101, 10), *range(200, 1001, 100)]
+
+# Parameters a search may choose, by their names in MLlib and in the factories.
+MLLIB_NAMES = {"featureSubsetStrategy": "max_features", "maxDepth": "max_depth", "impurity": "criterion", "minInfoGain": "minInfoGain"}
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -111,12 +120,13 @@ def repeated_runs(
 
 
 def feature_block_curve(
-    df: DataFrame, key: str, ranking: Sequence[str], cont: Sequence[str], ks: Sequence[int], runs: int,
+    df: DataFrame, key: str, ranking: Sequence[str], cont: Sequence[str], ks: Sequence[int] | None, runs: int,
     make_estimator: Callable[[int], Estimator], seed=42,
 ) -> DataFrame:
-    """Scores with the top k features for growing k, real and with shuffled features."""
+    """Scores with the top k features for growing k (``BLOCKS`` unless given),
+    real and with shuffled features."""
     continuous, parts = set(cont), []
-    for k in ks:
+    for k in ks if ks is not None else [k for k in BLOCKS if k <= len(ranking)]:
         top = list(ranking[:k])
         some_cont = [c for c in top if c in continuous]
         some_cat = [c for c in top if c not in continuous]
@@ -147,25 +157,41 @@ def learning_curve(df: DataFrame, est: Estimator, fractions: Sequence[float], k:
     )
 
 
+@dataclass
+class TargetResults:
+    """Tables over all targets; ``search`` only when parameters were tuned."""
+
+    importance: DataFrame
+    scores: DataFrame
+    search: DataFrame | None
+
+
 def train_targets(
     long: DataFrame, targets: Sequence[str], excluded: DataFrame | None = None, params: dict | None = None,
     n_trees: int = 50, parallelism: int = 4, seed=42, regression: bool = False, path: str | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """One leak-free forest per target: tables of importances and of scores.
+    grid: dict[str, Sequence] | None = None, n_iter: int = 10, folds: int = 5,
+) -> TargetResults:
+    """One leak-free forest per target, tuned if a grid is given.
 
     The vectors are built once for all targets. A target takes its label from
     its own feature (absent = 0) and slices its relatives, and itself, out of
-    the vectors. Targets run side by side from a driver thread pool, each in a
-    scheduler pool of its own; results go to one partition folder per target.
+    the vectors. With a ``grid`` (names of ``rf_classifier`` / ``rf_regressor``
+    parameters of MLlib) a random search on stratified folds picks the
+    parameters; scores are out-of-bag. Targets run side by side from a driver
+    thread pool, each in a scheduler pool of its own; results go to one
+    partition folder per target.
     """
     spark = long.sparkSession
     names = [r[0] for r in long.select("feature").distinct().orderBy("feature").collect()]
     vectors = to_vectors(long, names, long.select("key").distinct())
     excluded = checkpointed(excluded.select("target", "feature")) if excluded is not None else None
     path = path or scratch(spark, "targets")
+    factory = rf_regressor if regression else rf_classifier
+    weight = None if regression else "weight"
 
     def one(job: tuple[int, str]) -> None:
         slot, target = job
+        started = datetime.now()
         spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"target{slot % parallelism}")
         hidden = {target}
         if excluded is not None:  # at most one entry per feature
@@ -179,16 +205,28 @@ def train_targets(
         if not regression:
             rows = with_balanced_weight(rows, "label")
         rows = rows.persist()
-        weight = None if regression else "weight"
-        factory = rf_regressor if regression else rf_classifier
-        model = factory(**(dict(params or {}) | {"n_estimators": n_trees, "seed": seed, "weight": weight})).fit(rows)
-        pred = oob_evaluate(rows, n_trees, params, seed, "key", weight, regression)
-        scores = r_squared(pred) if regression else prf(confusion(pred))
         folder = f"target={target.replace(':', '_')}"
+        est = factory(**(dict(params or {}) | {"n_estimators": n_trees, "seed": seed, "weight": weight}))
+        best, n_best = dict(params or {}), n_trees
+        if grid:
+            part = F.lit(0).alias("part")
+            split = with_folds(rows.select("*", part), "part" if regression else "label", "key", folds, seed)
+            found = random_search(split, est, grid, n_iter, seed, "fold", "r2" if regression else "f1")
+            found.results.write.mode("overwrite").parquet(f"{path}/search/{folder}")
+            model, chosen = found.best, found.best_params
+            best |= {ours: chosen[theirs] for theirs, ours in MLLIB_NAMES.items() if theirs in chosen}
+            n_best = chosen.get("numTrees", n_trees)
+        else:
+            model = est.fit(rows)
+        pred = oob_evaluate(rows, n_best, best, seed, "key", weight, regression)
+        scores = r_squared(pred) if regression else prf(confusion(pred))
         importance_table(spark, model, [names[i] for i in kept]).write.mode("overwrite").parquet(f"{path}/fi/{folder}")
+        times = [F.lit(t.strftime("%d/%m/%Y %H:%M:%S")) for t in (started, datetime.now())]
+        scores = scores.select("*", times[0].alias("time_start"), times[1].alias("time_end"))
         scores.write.mode("overwrite").parquet(f"{path}/scores/{folder}")
         rows.unpersist()
 
     with ThreadPoolExecutor(parallelism) as pool:
         list(pool.map(one, enumerate(targets)))
-    return spark.read.parquet(f"{path}/fi"), spark.read.parquet(f"{path}/scores")
+    tables = [spark.read.parquet(f"{path}/{t}") for t in (["fi", "scores", "search"] if grid else ["fi", "scores"])]
+    return TargetResults(tables[0], tables[1], tables[2] if grid else None)

@@ -120,7 +120,7 @@ def _ready(spark, sf):
     return prep.with_balanced_weight(rows, "label")
 
 
-def _pipeline_saved(spark, sf):
+def _saved(spark, sf):
     """Fit, save, load, predict."""
     wide = _documents(spark, sf)
     model = prep.preprocessor(CONTINUOUS, CATEGORICAL, M.rf_classifier(**SMALL)).fit(wide)
@@ -237,8 +237,7 @@ def _target_models(spark, sf):
     targets = ["go_r0", "go_n1"]
     wanted = spark.createDataFrame([(t,) for t in targets], "target STRING")
     excluded = T.exclusions(wanted, term_edges(spark, sf))
-    importance, _ = ST.train_targets(long, targets, excluded, {"max_depth": 4}, 3, 2, SEED)
-    return importance
+    return ST.train_targets(long, targets, excluded, {"max_depth": 4}, 3, 2, SEED).importance
 
 
 QUERIES = {
@@ -281,7 +280,7 @@ QUERIES = {
     "multilayer_perceptron": (_fitted(lambda t: M.mlp(64, 2, 50, 30).fit(t)), None),
     "gaussian_naive_bayes": (_fitted(lambda t: M.naive_bayes("gaussian", "weight").fit(t)), None),
     "complement_naive_bayes": (_complement, None),
-    "saved_pipeline_predictions": (_pipeline_saved, None),
+    "saved_model_predictions": (_saved, None),
     "grid_search": (_grid, None),
     "random_search": (_random, None),
     "drawn_parameter_search": (_drawn, None),
