@@ -20,6 +20,9 @@ from .joins import null_safe_join
 
 MAX_GROUP_ROWS = 2_000_000
 CHUNK_ROWS = 1_000_000
+# The exact percentile aggregate keeps a map of a group's values, so it gives
+# way to running sums earlier than a window does.
+QUANTILE_GROUP_ROWS = 200_000
 
 
 def largest_group(df: DataFrame, by: Sequence[str]) -> int:
@@ -30,8 +33,8 @@ def largest_group(df: DataFrame, by: Sequence[str]) -> int:
     return sizes.agg(F.max("n")).first()[0] or 0
 
 
-def _is_large(df: DataFrame, by: Sequence[str], large: bool | None) -> bool:
-    return largest_group(df, by) > MAX_GROUP_ROWS if large is None else large
+def _is_large(df: DataFrame, by: Sequence[str], large: bool | None, limit: int = MAX_GROUP_ROWS) -> bool:
+    return largest_group(df, by) > limit if large is None else large
 
 
 def _directed(col: str, descending: bool) -> Column:
@@ -111,7 +114,7 @@ def quantiles(
     size = F.sum(weight) if weight else F.count(F.lit(1))
     by = list(by)
     present = df.where(F.col(col).isNotNull())
-    if not _is_large(present, by, large):
+    if not _is_large(present, by, large, QUANTILE_GROUP_ROWS):
         found = present.groupBy(*by).agg(
             F.percentile(
                 col, F.array(*[F.lit(p) for p in probs.values()]), F.col(weight) if weight else F.lit(1)
