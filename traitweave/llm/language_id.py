@@ -81,9 +81,10 @@ def subwords(data: np.ndarray, offsets: np.ndarray, buckets: int = BUCKETS) -> t
         if k > 2:
             ok[:m] &= inside[k - 2:k - 2 + m]  # a mark only at the ends
         if k in LENGTHS:
-            here = np.flatnonzero(ok & inside[:m]) if k == 1 else np.flatnonzero(ok & (inside[:m] | inside[k - 1:]))
+            here = np.flatnonzero(ok & (inside[:m] | inside[k - 1:]) if k < 3 else ok)
             out.append((mix(h[here] + np.uint64(k)) & np.uint64(buckets - 1)).astype(np.int64))
-            rows.append(row[here + (0 if k == 1 else 1)])
+            # A gap belongs to the letter beside it.
+            rows.append(np.where(inside[here], row[here], row[np.minimum(here + 1, n - 1)]))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(rows), np.concatenate(out)
