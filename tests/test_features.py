@@ -126,3 +126,24 @@ def test_integrity_report(spark, rows):
     df = spark.createDataFrame([("a", 1), ("a", 2), (None, 0)], "k STRING, v INT")
     got = A.integrity_report(df, unique=["k"], not_null=["k"], allowed={"v": [0, 1]}, positive=["v"])
     assert rows(got) == [("allowed v", 1, False), ("not null k", 1, False), ("positive v", 1, False), ("unique k", 1, False)]
+
+
+def test_align_outer_refuses_what_it_cannot_keep(spark):
+    a = spark.createDataFrame([("g1", 5)], "g STRING, v INT")
+    with pytest.raises(ValueError, match="several"):
+        J.align_outer([a, a], "g")
+    twice = spark.createDataFrame([("g1", 1), ("g1", 2)], "g STRING, x INT")
+    with pytest.raises(Exception, match="g1"):
+        J.align_outer([a, twice], "g").collect()
+
+
+def test_vectors_refuse_missing_cells(spark):
+    long = spark.createDataFrame([(1, "a", 2.0), (1, "b", None)], "key INT, feature STRING, value DOUBLE")
+    with pytest.raises(Exception, match="impute"):
+        M.to_vectors(long, ["a", "b"])
+
+
+def test_preprocessor_with_odd_names(spark):
+    df = spark.createDataFrame([(1.0, 1), (3.0, None)], "`a.b` DOUBLE, `c``d` INT")
+    out = M.preprocessor(["a.b"], ["c`d"]).fit(df).stages[0].transform(df).collect()
+    assert [tuple(r)[2:] for r in out] == [(-1.0, 1.0), (1.0, 0.0)]

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from traitweave.operators import graph as G
 from traitweave.operators import ontology as T
@@ -127,3 +128,11 @@ def test_multiplicity(spark, rows):
 def test_duplications(spark, rows):
     events = spark.createDataFrame([("o1", "N1"), ("o1", "N2"), ("o2", "N1")], "orthogroup STRING, node STRING")
     assert rows(O.duplication_counts(events)) == [("node", "N1", 2), ("node", "N2", 1), ("orthogroup", "o1", 2), ("orthogroup", "o2", 1)]
+
+
+def test_mcl_loses_no_node(spark):
+    clique = spark.createDataFrame([(i, j, 1.0) for i in range(25) for j in range(i)], "src INT, dst INT, w DOUBLE")
+    out = G.mcl(clique, 2.0, eps=0.05).collect()
+    assert len(out) == 25 and {r["cluster"] for r in out} == {0}
+    with pytest.raises(RuntimeError, match="settle"):
+        G.mcl(spark.createDataFrame([(0, 1, 1.0), (1, 2, 0.7), (2, 3, 1.0)], "src INT, dst INT, w DOUBLE"), 1.1, max_iter=1)

@@ -48,8 +48,15 @@ def test_models_learn_and_null_model_does_not(wide, rows_):
         assert abs(_auc(make().fit(mixed.where(half)), mixed.where(~half)) - 0.5) < 0.2
 
 
-def test_depth_is_cut():
-    assert M.rf_classifier(max_depth=200).getMaxDepth() == M.DEPTH_LIMIT
+def test_block_sizes_reach_all_features():
+    assert ST.block_sizes(7) == [7] and ST.block_sizes(35) == [10, 20, 30, 35]
+    assert ST.block_sizes(9500) == [*range(10, 101, 10), *range(200, 1001, 100), *range(2000, 9001, 1000), 9500]
+
+
+def test_depth_beyond_the_limit_is_refused():
+    assert M.rf_classifier(max_depth=None).getMaxDepth() == M.DEPTH_LIMIT
+    with pytest.raises(ValueError, match="limit"):
+        M.rf_classifier(max_depth=200)
     assert M.decision_tree(None).getMaxDepth() == M.DEPTH_LIMIT
 
 

@@ -147,3 +147,22 @@ def test_top_percent_keeps_ties(spark):
     df = spark.createDataFrame([(v,) for v in [1, 1, 1, 2, 3, 4, 5, 6, 7, 8]], "v INT")
     assert R.top_percent(df, "v", 10).count() == 3
     assert R.top_count(45449474, 1) == 454495
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_sequence_number_is_the_same_for_small_and_large_groups(spark, rows, descending):
+    data = [(1, None), (1, "a"), (1, "b"), (None, "c"), (None, None), (2, "b"), (2, "b"), (0, None)]
+    df = spark.createDataFrame(data, "x INT, t STRING")
+    small, large = (rows(O.sequence_number(df, ["x"], descending=descending, large=big)) for big in (False, True))
+    assert small == large
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_ranks_are_the_same_for_small_and_large_groups(spark, rows, descending):
+    rng = random.Random(4)
+    data = [(rng.choice("ab"), rng.choice([None, 1.0, 2.5, 2.5, 7.0, float(i)])) for i in range(200)]
+    df = spark.createDataFrame(data, "g STRING, v DOUBLE")
+    small, large = (rows(O.average_rank(df, ["g"], "v", descending=descending, large=big)) for big in (False, True))
+    assert small == large
+    small, large = (rows(O.quantiles(df, ["g"], "v", {"q1": 0.25, "m": 0.5}, large=big)) for big in (False, True))
+    assert small == large

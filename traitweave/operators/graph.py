@@ -35,7 +35,7 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     The minimum per node is combined before the shuffle, so a hub is one row.
     """
     links = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
-    links = checkpointed(links.where("u <> v").distinct())
+    links, seen = checkpointed(links.where("u <> v").distinct()), None
     for _ in range(max_rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -46,13 +46,12 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(
             least.select("u", F.col("m").alias("v"))
         )
-        stepped = checkpointed(small.distinct())
-        moved = stepped.join(links, ["u", "v"], "left_anti").isEmpty() and links.join(
-            stepped, ["u", "v"], "left_anti"
-        ).isEmpty()
-        links = stepped
-        if moved:
+        links = checkpointed(small.distinct())
+        # Two rounds with the same set of links: compared by its size and an order-free sum of hashes.
+        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == seen:
             break
+        seen = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
@@ -73,8 +72,10 @@ def mcl(
     """Markov clustering: ``(node, cluster)``, the cluster named by its smallest node.
 
     The column-stochastic matrix is kept as cells ``(i, j, p)``. Cells below
-    ``eps`` are pruned, so a column never holds more than ``1 / eps`` cells and
-    a cell of the expansion join meets at most that many partners.
+    ``eps`` are pruned, but the largest cells of a column always stay: a flat
+    column keeps all its cells, so no node is lost. Every node of the input is
+    in the result. Raises if the columns have not settled after ``max_iter``
+    rounds.
     """
     both = edges.unionByName(
         edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
@@ -92,12 +93,23 @@ def mcl(
         right = cells.select(F.col("i").alias("k"), "j", F.col("p").alias("b"))
         squared = left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("p"))
         inflated = _normalised(squared.withColumn("p", F.pow("p", F.lit(float(inflation)))))
-        stepped = checkpointed(_normalised(inflated.where(F.col("p") >= eps)))
+        kept = _pruned(checkpointed(inflated), eps)
+        stepped = checkpointed(_normalised(kept))
         cells = stepped
         # A column has settled when all its cells are equal.
         spread = stepped.groupBy("j").agg((F.max("p") - F.sum(F.col("p") * F.col("p"))).alias("d"))
         if (spread.agg(F.max("d")).first()[0] or 0.0) < tol:
             break
+    else:
+        raise RuntimeError(f"Markov clustering did not settle in {max_iter} rounds")
     # Columns and the rows that attract them form the clusters.
-    linked = components(cells.where(F.col("p") > eps).select(F.col("i").alias("src"), F.col("j").alias("dst")))
-    return linked.withColumnRenamed("component", "cluster")
+    linked = components(_pruned(cells, eps).select(F.col("i").alias("src"), F.col("j").alias("dst")))
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return nodes.join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("cluster"))
+
+
+def _pruned(cells: DataFrame, eps: float) -> DataFrame:
+    """Drop cells below ``eps``, but never the largest of a column (cells equal to it up to rounding)."""
+    largest = cells.groupBy("j").agg(F.max("p").alias("_most"))
+    small = F.col("p") < F.lit(eps)
+    return cells.join(largest, "j").where(~small | (F.col("p") >= F.col("_most") * F.lit(1 - 1e-9))).drop("_most")

@@ -14,12 +14,23 @@ from ..plans.ordering import sequence_number
 def align_outer(dfs: Sequence[DataFrame], key: str) -> DataFrame:
     """Put k tables with different columns side by side on ``key``.
 
-    Instead of k-1 outer joins the tables are stacked and grouped: one shuffle,
-    each key once in every table.
+    Instead of k-1 outer joins the tables are stacked and grouped: one shuffle.
+    Tables that share a column name are refused, and a key that a table has
+    twice is an error when the result is computed: neither has one right value.
     """
+    named = [c for df in dfs for c in df.columns if c != key]
+    twice = sorted({c for c in named if named.count(c) > 1})
+    if twice:
+        raise ValueError(f"columns in several tables: {twice}")
+    dfs = [df.withColumn("_table", F.lit(i)) for i, df in enumerate(dfs)]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
-    values = [c for c in stacked.columns if c != key]
-    return stacked.groupBy(key).agg(*[F.max(c).alias(c) for c in values])
+    # A table's number is a power of two: its bit is carried over if the table comes twice.
+    bit = F.pow(F.lit(2), "_table").cast("bigint")
+    once = F.sum(bit) == F.bit_or(bit)
+    key_text = F.concat(F.lit("a table has this key twice: "), F.coalesce(F.col(key).cast("string"), F.lit("NULL")))
+    grouped = stacked.groupBy(key).agg(*[F.max(c).alias(c) for c in named], once.alias("_once"))
+    checked = F.when(F.col("_once"), F.lit(True)).otherwise(F.raise_error(key_text).cast("boolean"))
+    return grouped.where(checked).select(key, *named)
 
 
 def align_long(tables: dict[str, DataFrame], key: str) -> DataFrame:

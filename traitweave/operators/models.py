@@ -28,14 +28,16 @@ from ..plans.hashing import hash_unit
 from ..plans.joins import lookup_join
 from ..session import checkpointed
 
-# MLlib rejects deeper trees; None and larger depths are cut to it.
+# MLlib rejects deeper trees. No limit (None) means this one; a larger depth is refused rather than cut.
 DEPTH_LIMIT = 30
 # Poisson counts above this have a probability below 1e-12 for means up to 1.
 POISSON_TERMS = 16
 
 
 def _depth(depth: int | None) -> int:
-    return DEPTH_LIMIT if depth is None else min(depth, DEPTH_LIMIT)
+    if depth is not None and depth > DEPTH_LIMIT:
+        raise ValueError(f"trees of depth {depth}: MLlib's limit is {DEPTH_LIMIT}")
+    return DEPTH_LIMIT if depth is None else depth
 
 
 def _forest_params(n_estimators, max_features, max_depth, seed, weight):
@@ -95,8 +97,13 @@ def naive_bayes(kind: str = "gaussian", weight=None, **extra) -> NaiveBayes:
 
 
 def poisson_weight(mean: float | Column, seed, key: str) -> Column:
-    """Poisson draw from the md5 of ``seed|key`` by inverting the distribution."""
+    """Poisson draw from the md5 of ``seed|key`` by inverting the distribution.
+
+    The rate is at most 1 (a bag draws no row more often on average); a larger
+    one would be cut at ``POISSON_TERMS`` and is an error.
+    """
     mean = F.lit(float(mean)) if not isinstance(mean, Column) else mean
+    mean = F.when(mean > 1, F.raise_error(F.lit("Poisson rate above 1")).cast("double")).otherwise(mean)
     # state: the uniform number, the rate, the current term, the sum of the terms, the draw
     start = F.struct(
         hash_unit(seed, key).alias("u"), mean.alias("rate"), F.exp(-mean).alias("term"), F.exp(-mean).alias("below"),

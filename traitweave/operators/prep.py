@@ -5,6 +5,7 @@ Statistics come from the training rows only and are applied to any rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml import Estimator, Pipeline
@@ -42,6 +43,15 @@ def apply_scaler(long: DataFrame, stats: DataFrame) -> DataFrame:
     return joined.withColumn("value", F.when(F.col("value").isNotNull(), scaled)).drop("mean", "std")
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _number(value: float) -> str:
+    """A DOUBLE literal, also for values that have no digits."""
+    return f"{value!r}D" if math.isfinite(value) else f"DOUBLE('{value!r}')"
+
+
 class ColumnPreprocessor(Estimator):
     """Median and scaling for continuous columns, zero for categorical ones.
 
@@ -57,19 +67,21 @@ class ColumnPreprocessor(Estimator):
     def _fit(self, dataset: DataFrame) -> SQLTransformer:
         exprs = ["*"]
         if self.cont:
-            long = melt(dataset.select(F.lit(0).alias("key"), *self.cont), "key", self.cont)
-            medians = {r["feature"]: r["median"] for r in fit_median(long).collect()}
-            filled = [F.coalesce(F.col(c).cast("double"), F.lit(medians.get(c, 0.0))) for c in self.cont]
+            # Columns go by number, as their names may hold dots.
+            numbered = [F.col(_quoted(c)).cast("double").alias(f"c{i}") for i, c in enumerate(self.cont)]
+            long = melt(dataset.select(F.lit(0).alias("key"), *numbered), "key", [f"c{i}" for i in range(len(self.cont))])
+            medians = {self.cont[int(r["feature"][1:])]: r["median"] for r in fit_median(long).collect()}
+            filled = [F.coalesce(F.col(_quoted(c)).cast("double"), F.lit(medians.get(c, 0.0))) for c in self.cont]
             row = dataset.agg(
                 *[F.avg(f).alias(f"m{i}") for i, f in enumerate(filled)],
                 *[F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(filled)],
             ).first()
             for i, c in enumerate(self.cont):
                 mean, std = row[f"m{i}"] or 0.0, row[f"s{i}"] or 0.0
-                filled_sql = f"coalesce(CAST(`{c}` AS DOUBLE), {medians.get(c, 0.0)!r}D)"
-                scaled = f"({filled_sql} - {mean!r}D) / {std!r}D" if std else "0.0D"
-                exprs.append(f"{scaled} AS `prep_{c}`")
-        exprs += [f"coalesce(CAST(`{c}` AS DOUBLE), 0.0D) AS `prep_{c}`" for c in self.cat]
+                filled_sql = f"coalesce(CAST({_quoted(c)} AS DOUBLE), {_number(medians.get(c, 0.0))})"
+                scaled = f"({filled_sql} - {_number(mean)}) / {_number(std)}" if std else "0.0D"
+                exprs.append(f"{scaled} AS {_quoted('prep_' + c)}")
+        exprs += [f"coalesce(CAST({_quoted(c)} AS DOUBLE), 0.0D) AS {_quoted('prep_' + c)}" for c in self.cat]
         return SQLTransformer(statement=f"SELECT {', '.join(exprs)} FROM __THIS__")
 
 
@@ -91,14 +103,17 @@ def with_balanced_weight(df: DataFrame, label: str, name: str = "weight") -> Dat
 def to_vectors(long: DataFrame, names: Sequence[str], rows: DataFrame | None = None) -> DataFrame:
     """Sparse vectors ``(key, features)`` over the features ``names``.
 
-    Cells that are zero or absent take no space. The table is written to the
+    Cells that are zero or absent take no space. A NULL cell has no value to
+    write and is an error: impute first (``apply_median``). The table is written to the
     shared folder in the layout of a vector column and read back as one, which
     needs no Python per row and also keeps the training data out of the lineage.
     ``rows`` (key, other columns) adds labels and keys without any non-zero cell.
     """
     spark = long.sparkSession
     index = spark.createDataFrame([(f, i) for i, f in enumerate(names)], "feature STRING, idx INT")
-    cells = lookup_join(long.where("value <> 0"), index, ["feature"], "inner")
+    message = F.concat(F.lit("NULL cell, impute first: "), F.col("feature"))
+    present = F.when(F.col("value").isNull(), F.raise_error(message).cast("boolean")).otherwise(F.col("value") != 0)
+    cells = lookup_join(long.where(present), index, ["feature"], "inner")
     grouped = cells.groupBy("key").agg(
         F.sort_array(F.collect_list(F.struct("idx", F.col("value").cast("double").alias("v")))).alias("cells")
     )

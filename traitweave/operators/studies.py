@@ -22,8 +22,13 @@ from .prep import preprocessor, to_vectors, with_balanced_weight
 from .sampling import holdout_n_per_class, shuffle_features, undersample, with_folds
 from .tuning import random_search
 
-# Sizes of the growing feature blocks.
-BLOCKS = [*range(10, 101, 10), *range(200, 1001, 100)]
+def block_sizes(n: int) -> list[int]:
+    """Sizes of growing feature blocks up to all ``n`` features: tens to 100, hundreds to 1000, then thousands."""
+    sizes, step = [], 10
+    while (size := (sizes[-1] if sizes else 0) + step) < n:
+        sizes.append(size)
+        step = 10 if size < 100 else 100 if size < 1000 else 1000
+    return [*sizes, n]
 
 # Parameters a search may choose, by their names in MLlib and in the factories.
 MLLIB_NAMES = {"featureSubsetStrategy": "max_features", "maxDepth": "max_depth", "impurity": "criterion", "minInfoGain": "minInfoGain"}
@@ -123,10 +128,10 @@ def feature_block_curve(
     df: DataFrame, key: str, ranking: Sequence[str], cont: Sequence[str], ks: Sequence[int] | None, runs: int,
     make_estimator: Callable[[int], Estimator], seed=42,
 ) -> DataFrame:
-    """Scores with the top k features for growing k (``BLOCKS`` unless given),
+    """Scores with the top k features for growing k (``block_sizes`` unless given),
     real and with shuffled features."""
     continuous, parts = set(cont), []
-    for k in ks if ks is not None else [k for k in BLOCKS if k <= len(ranking)]:
+    for k in ks if ks is not None else block_sizes(len(ranking)):
         top = list(ranking[:k])
         some_cont = [c for c in top if c in continuous]
         some_cat = [c for c in top if c not in continuous]

@@ -149,14 +149,15 @@ def sequence_number(
 ) -> DataFrame:
     """Consecutive numbers in sorted order, over the table or within groups.
 
-    Remaining columns break ties, so the result is the same on every run. In
+    Remaining columns break ties, NULLs last, so the result is the same on every
+    run and for groups of every size. In
     large groups equal rows are counted, numbered as one block and expanded
     again in chunks.
     """
     by, order = list(by), list(order)
     rest = [c for c in df.columns if c not in by and c not in order]
     if not _is_large(df, by, large):
-        keys = [_directed(c, descending) for c in order] + [F.col(c) for c in rest]
+        keys = [_directed(c, descending) for c in order] + [_directed(c, False) for c in rest]
         numbered = F.row_number().over(Window.partitionBy(*by).orderBy(*keys))
         return df.withColumn(name, (numbered - 1 + start).cast("bigint"))
     down = order if descending else []
