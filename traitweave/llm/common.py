@@ -3,6 +3,8 @@ survive hot keys, connected components and word hashing over Arrow buffers."""
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,7 +33,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends, a lost executor loses nothing."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    read = df.sparkSession.read.schema(df.schema).parquet(path)
+    read.stored_at = path
+    return read
+
+
+def stored_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As ``stored``, bucketed by ``key`` into as many buckets as shuffles have partitions: a join on it moves only the other side."""
+    spark = df.sparkSession
+    buckets = spark.conf.get("spark.sql.shuffle.partitions")
+    path, table = scratch(spark, name), f"{name}_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}'")
+    df.write.insertInto(table)
+    read = spark.table(table)
+    read.stored_at = path
+    return read
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``stored`` wrote for these frames, once nothing reads it any more."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def row_uid(*cols: Column) -> Column:
@@ -106,7 +131,7 @@ def text_slices(column: pa.Array):
     """``(first row, bytes, row offsets)`` for runs of rows of about SLICE_BYTES; NULL counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.fill_null("").cast(pa.large_binary())
+    column = column.cast(pa.large_binary()).fill_null(b"")
     n = len(column)
     if not n:
         return
@@ -157,19 +182,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def _powers(n: int) -> np.ndarray:
+    global _POWERS
+    if n > len(_POWERS):
+        _POWERS = np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * n, _BASE)]).astype(np.uint64))
+    return _POWERS
+
+
+def hash_rows(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row's whole word sequence."""
+    n = np.diff(bounds)
+    out = np.zeros(len(n), np.uint64)
+    full = np.flatnonzero(n)
+    if len(full):
+        place = np.arange(len(words)) - np.repeat(bounds[:-1], n)
+        out[full] = np.add.reduceat(words * _powers(int(n.max()))[place], bounds[full])
+    return mix(out + n.astype(np.uint64))
+
+
 def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, to: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word: a polynomial over random byte values, then mixed."""
-    global _POWERS
     if not len(starts):
         return np.zeros(0, np.uint64)
     lengths = ends - starts
-    longest = int(lengths.max())
-    if longest > len(_POWERS):
-        _POWERS = np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * longest, _BASE)]).astype(np.uint64))
+    powers = _powers(int(lengths.max()))
     bounds = np.cumsum(lengths) - lengths
     place = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(bounds, lengths)
     at = place + np.repeat(starts, lengths)
-    values = _BYTE[to[data[at]]] * _POWERS[place]
+    values = _BYTE[to[data[at]]] * powers[place]
     return mix(np.add.reduceat(values, bounds) + lengths.astype(np.uint64))
 
 

@@ -26,6 +26,7 @@ of its own unique anchors and of its own first windows.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, byte_table, find_words, hash_runs, hash_words, mix, prepare, row_uid, stored, text_slices
+from .common import WHITE, byte_table, discard, find_words, hash_rows, hash_runs, hash_words, mix, prepare, row_uid, stored, stored_by, text_slices
 
 #: Words of a window; rounds of recompression.
 WINDOW, ROUNDS = 20, 5
@@ -125,10 +126,15 @@ def anchors(words: np.ndarray, bounds: np.ndarray, window: int = WINDOW) -> tupl
     return name, place
 
 
-def _slices(texts: pa.Array):
-    """Words of slices of rows: ``(bytes, row offsets, starts, ends, word bounds, hashes)``."""
+def _word_slices(texts: pa.Array):
+    """Slices of rows: ``(bytes, row offsets, starts, ends, word bounds)``."""
     for _, data, offsets in text_slices(texts):
-        starts, ends, bounds = find_words(data, offsets, _INSIDE)
+        yield data, offsets, *find_words(data, offsets, _INSIDE)
+
+
+def _slices(texts: pa.Array):
+    """The same with the words' hashes."""
+    for data, offsets, starts, ends, bounds in _word_slices(texts):
         yield data, offsets, starts, ends, bounds, hash_words(data, starts, ends, _TO)
 
 
@@ -145,14 +151,12 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.
         for _, offsets, _, _, bounds, hashes in _slices(batch.column(2)):
             n = len(offsets) - 1
             key, place = anchors(hashes, bounds, window)
-            rows, keys, places, spans = [np.arange(n)], [np.zeros(n, np.uint64)], [np.full(n, -1)], []
+            rows, keys, places, spans = [np.arange(n)], [hash_rows(hashes, bounds)], [np.full(n, -1)], []
             for r in range(n):
-                own = hashes[bounds[r]:bounds[r + 1]]
-                keys[0][r] = mix((hash_runs(own, len(own)) if len(own) else np.zeros(1, np.uint64)) + np.uint64(len(own)))[0]
-                if len(own) < window:
+                a, b = bounds[r], bounds[r + 1] - window + 1
+                if a >= b:
                     spans.append(b"")
                     continue
-                a, b = bounds[r], bounds[r + 1] - window + 1
                 new = np.flatnonzero(np.concatenate([[True], (place[a + 1:b] != place[a:b - 1]) | (key[a + 1:b] != key[a:b - 1])]))
                 rows.append(np.full(len(new), r))
                 keys.append(key[a:b][new])
@@ -165,7 +169,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.
             row0 += n
 
 
-_PARTS = "uid bigint, doc_id bigint, n_words bigint, whole string, text string, windows array<int>, copy boolean"
+_PARTS = "uid bigint, doc_id bigint, n_words bigint, whole string, text binary, windows array<int>, copy boolean"
 
 
 def _candidate_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -173,7 +177,7 @@ def _candidate_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[
     for batch in batches:
         uid, ids, texts, unique, spans = (batch.column(i) for i in range(5))
         row0 = 0
-        for data, offsets, starts, ends, bounds, _ in _slices(texts):
+        for data, offsets, _, _, bounds in _word_slices(texts):
             n = len(offsets) - 1
             out = []
             for r in range(n):
@@ -189,18 +193,21 @@ def _candidate_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[
                 copy = copy and size >= window
                 whole = text = None
                 if len(at):
-                    text = data[offsets[r]:offsets[r + 1]].tobytes().decode()
+                    text = data[offsets[r]:offsets[r + 1]].tobytes()
                 elif not copy:
-                    whole = _joined(data, starts[bounds[r]:bounds[r + 1]], ends[bounds[r]:bounds[r + 1]])
+                    whole = _joined(data[offsets[r]:offsets[r + 1]].tobytes())
                 out.append((size, whole, text, at.astype(np.int32), copy))
-            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.bool_()), strict=True)]
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int32()), pa.bool_()), strict=True)]
             yield pa.RecordBatch.from_arrays([uid.slice(row0, n), ids.slice(row0, n), *columns], names=["uid", "doc_id", "n_words", "whole", "text", "windows", "copy"])
             row0 += n
 
 
-def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> str:
-    raw = data.tobytes() if len(starts) < 64 else memoryview(data)
-    return hashlib.sha256(b" ".join(bytes(raw[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True))).hexdigest()
+def _joined(text: bytes, gone: np.ndarray | None = None) -> str:
+    """SHA-256 of the words joined by one space, without those marked; bytes split at exactly the separators of words."""
+    kept = text.split()
+    if gone is not None:
+        kept = itertools.compress(kept, (~gone).tolist())
+    return hashlib.sha256(b" ".join(kept)).hexdigest()
 
 
 _WINDOWS = "uid bigint, doc_id bigint, hash bigint, at int"
@@ -227,7 +234,7 @@ def _removed_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
         texts, windows, firsts = (batch.column(i) for i in (2, 3, 4))
         removed, ranges, digest = [], [], []
         row0 = 0
-        for data, offsets, starts, ends, bounds, _ in _slices(texts):
+        for data, offsets, _, _, bounds in _word_slices(texts):
             for r in range(len(offsets) - 1):
                 at, first = windows[row0 + r], firsts[row0 + r]
                 at = np.asarray(at.values)
@@ -240,7 +247,7 @@ def _removed_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
                 removed.append(int(gone.sum()))
                 ranges.append(edge.tolist())
-                digest.append(_joined(data, starts[bounds[r]:bounds[r + 1]][~gone], ends[bounds[r]:bounds[r + 1]][~gone]))
+                digest.append(_joined(data[offsets[r]:offsets[r + 1]].tobytes(), gone))
             row0 += len(offsets) - 1
         added = [pa.array(removed, pa.int64()), pa.array(ranges, pa.list_(pa.int32())), pa.array(digest, pa.string())]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(5), *added], names=["uid", "doc_id", "n_words", "n_removed", "ranges", "kept_sha256"])
@@ -273,7 +280,8 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_
     # Places of one text come from everywhere: they are brought together before they are listed.
     own = back.repartition("uid").groupBy("uid").agg(F.collect_list("place").alias("places"), F.max("spans").alias("spans"))
     once = rows.join(own, "uid").select("uid", "doc_id", "text", "places", "spans")
-    parts = stored(once.mapInArrow(lambda b: _candidate_rows(b, window), _PARTS), "parts")
+    parts = stored_by(once.mapInArrow(lambda b: _candidate_rows(b, window), _PARTS), "parts", "uid")
+    discard(found)
     open_parts = parts.where(F.size("windows") > 0)
     windows = open_parts.select("uid", "doc_id", "text", "windows").mapInArrow(lambda b: _window_rows(b, window), _WINDOWS)
     order = F.struct(F.isnotnull("doc_id").alias("given"), "doc_id", "uid", "at")
