@@ -64,9 +64,11 @@ def test_random_features(spark):
     assert {r["count"] for r in got.groupBy("draw").count().collect()} == {10}
 
 
+@pytest.mark.parametrize("few", [0, 8192])
 @pytest.mark.parametrize("p", [1.0, 2.0, 3.0])
-def test_nearest_against_brute_force(spark, monkeypatch, p):
+def test_nearest_against_brute_force(spark, monkeypatch, p, few):
     monkeypatch.setattr(N, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(N, "FEW_QUERIES", few)
     rng = np.random.default_rng(2)
     known = np.vstack([rng.normal(size=(90, 3)), np.repeat([[5.0, 5.0, 5.0]], 45, axis=0), rng.normal(8, 0.1, size=(20, 3))])
     asked = np.vstack([rng.normal(size=(20, 3)), [[5.0, 5.0, 5.0], [8.0, 8.0, 8.0]]])
@@ -94,6 +96,12 @@ def test_knn_votes(spark):
     assert plain == {10: 1, 11: 1} and near == {10: 0, 11: 1}
 
 
+def test_smote_without_continuous_columns(spark):
+    data = [(str(i), 1 if i < 5 else 0, "uv"[i % 2]) for i in range(20)]
+    made = X.smote_nc(spark.createDataFrame(data, "key STRING, y INT, c STRING"), "y", "key", [], ["c"], k=2)
+    assert made.where("y = 1").count() == 15 and made.where("c is null").count() == 0
+
+
 def test_smote(spark):
     rnd = random.Random(4)
     data = [(str(i), 1 if i < 12 else 0, rnd.random(), rnd.random(), rnd.choice("uv")) for i in range(60)]

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..plans.joins import null_safe_join
+from ..plans.joins import lookup_join, null_safe_join
 from ..plans.ordering import quantiles
+from ..session import checkpointed
 
 
 def annotation_counts(ann: DataFrame) -> DataFrame:
@@ -116,23 +117,20 @@ def histogram(df: DataFrame, col: str, bins: int, by: str | None = None) -> Data
     A column with one value gets the range half a unit to both sides.
     """
     keys = [by] if by else []
-    present = df.where(F.col(col).isNotNull())
-    # Equal values are counted once before any join or shuffle on the group.
-    values = present.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("n"))
-    # The condition on n holds always; it keeps the column in the plan, so the
-    # range and the counts read the same shuffle.
+    # The values are written once: the range and the bins both read them, and neither shuffles them.
+    values = checkpointed(df.where(F.col(col).isNotNull()).select(*keys, col))
     ends = values.groupBy(*keys).agg(
-        F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"), F.sum("n").alias("n")
+        F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"), F.count(F.lit(1)).alias("n")
     ).where("n > 0")
     flat = F.when(F.col("lo") == F.col("hi"), F.lit(0.5)).otherwise(F.lit(0.0))
     ends = ends.select(*keys, (F.col("lo") - flat).alias("lo"), (F.col("hi") + flat).alias("hi"))
     if by:
-        placed = null_safe_join(values, ends, keys)
+        placed = lookup_join(values, ends, keys, "inner")
     else:
         placed = values.withColumn("_ends", ends.select(F.struct("lo", "hi")).scalar()).select("*", "_ends.*")
     place = F.floor((F.col(col) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
     counted = placed.groupBy(*keys, F.least(place + 1, F.lit(bins)).cast("int").alias("bin")).agg(
-        F.sum("n").alias("n")
+        F.count(F.lit(1)).alias("n")
     )
     frame = ends.where(F.col("lo").isNotNull()).select("*", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
     width = (F.col("hi") - F.col("lo")) / bins

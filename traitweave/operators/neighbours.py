@@ -1,11 +1,16 @@
-"""Exact k nearest neighbours without comparing every pair.
+"""Exact k nearest neighbours.
 
-A few training rows act as pivots. Every row belongs to the cell of its nearest
+Few queries (their count and bytes are checked) go to every task; each partition
+of the training table keeps its k nearest, which are merged per query, and the
+training table is not shuffled.
+
+Many queries: a few training rows act as pivots. Every row belongs to the cell of its nearest
 pivot. The triangle inequality bounds, for each query cell, the distance within
 which all k neighbours must lie; a training row is sent only to the query cells
 whose bound it can meet. Cells are cut into blocks of at most about
 ``BLOCK_ROWS`` rows, so a task never holds more than two blocks, however many
-rows are alike, and it returns only k rows per query.
+rows are alike, and it returns only k rows per query. In many dimensions the
+bounds prune little; then every training row meets every query, in blocks.
 """
 
 from __future__ import annotations
@@ -23,6 +28,8 @@ from ..session import checkpointed
 
 BLOCK_ROWS = 2048
 MAX_PIVOTS = 128
+# Queries, and bytes of them, that every task may hold.
+FEW_QUERIES, FEW_BYTES = 8192, 64 << 20
 # Relative room for rounding in the distance bounds.
 SLACK = 1e-9
 
@@ -51,6 +58,41 @@ def _field(df: DataFrame, name: str) -> str:
     return f"{name} {df.schema[name].dataType.simpleString()}"
 
 
+def _least(dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k least finite cells of each row; of equal ones the first columns."""
+    take = min(k, dist.shape[1])
+    edge = np.partition(dist, take - 1, axis=1)[:, take - 1]
+    row, col = np.nonzero((dist <= edge[:, None]) & np.isfinite(dist))
+    order = np.lexsort((col, dist[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < take], col[place < take]
+
+
+def _few_queries(asked: pd.DataFrame, train: DataFrame, k: int, p: float, exclude_self: bool, mark_cost: float, schema: str) -> DataFrame:
+    """The k nearest rows of each partition for a table of queries that every task gets; the training table stays where it is."""
+    shared = train.sparkSession.sparkContext.broadcast(asked)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        queries, best = shared.value, None
+        names = queries["id"].to_numpy()
+        for batch in batches:
+            for at in range(0, len(batch), BLOCK_ROWS):
+                known = batch.iloc[at:at + BLOCK_ROWS].sort_values("id", ignore_index=True)
+                dist = _frame_distances(queries, known, p, mark_cost)
+                ids = known["id"].to_numpy()
+                if exclude_self:
+                    dist[names[:, None] == ids[None, :]] = np.inf
+                row, col = _least(dist, k)
+                new = pd.DataFrame({"row": row, "id": ids[col], "dist": dist[row, col]})
+                both = new if best is None else pd.concat([best, new])
+                best = both.sort_values(["row", "dist", "id"]).groupby("row").head(k)
+        if best is not None and len(best):
+            yield pd.DataFrame({"query": names[best["row"].to_numpy()], "id": best["id"].to_numpy(), "dist": best["dist"].to_numpy()})
+
+    return train.mapInPandas(scan, schema)
+
+
 def _with_cell(df: DataFrame, pivots: pd.DataFrame, p: float, mark_cost: float) -> DataFrame:
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -87,15 +129,23 @@ def nearest(
     if p < 1:
         raise ValueError("the triangle inequality needs p >= 1")
     need = k + 1 if exclude_self else k
+    best = Window.partitionBy("query").orderBy("dist", "id")
+    schema = f"query {queries.schema['id'].dataType.simpleString()}, {_field(train, 'id')}, dist double"
+    payload = ["id", "vec"] + (["marks"] if "marks" in train.columns else [])
+    n_queries = queries.count()
+    # Rows times width of one of them: what every task would hold.
+    width = (queries.agg(F.max(F.size("vec"))).first()[0] or 0) * 8 + 64 * len(payload)
+    if n_queries <= FEW_QUERIES and n_queries * width <= FEW_BYTES:
+        found = _few_queries(queries.select(*payload).toPandas(), train.select(*payload), k, p, exclude_self, mark_cost, schema)
+        return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
     # A training row may have to go to every cell, so cells are not made smaller
     # than a good part of a block of queries.
-    n_pivots = max(1, min(MAX_PIVOTS, int(train.count() ** 0.5), 4 * queries.count() // BLOCK_ROWS))
+    n_pivots = max(1, min(MAX_PIVOTS, int(train.count() ** 0.5), 4 * n_queries // BLOCK_ROWS))
     # At most MAX_PIVOTS rows come to the driver.
     pivots = train.orderBy(md5_of("pivot", "id")).limit(n_pivots).toPandas()
     n_pivots = len(pivots)
     if pivots.empty:
-        schema = f"query {queries.schema['id'].dataType.simpleString()}, {_field(train, 'id')}, dist double, place int"
-        return queries.sparkSession.createDataFrame([], schema)
+        return queries.sparkSession.createDataFrame([], schema + ", place int")
     asked = _with_cell(queries, pivots, p, mark_cost)
     known = _with_cell(train, pivots, p, mark_cost)
 
@@ -112,9 +162,6 @@ def nearest(
         floor[cell] = between[cell] - row["radius"] - bound
         floor[cell] -= SLACK * (1.0 + between[cell] + row["radius"])
 
-    has_marks = "marks" in train.columns
-    payload = ["id", "vec"] + (["marks"] if has_marks else [])
-
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             meets = batch["pdist"].to_numpy()[:, None] >= floor[:, batch["cell"]].T
@@ -144,19 +191,12 @@ def nearest(
             ids = known["id"].to_numpy()
             if exclude_self:
                 dist[asked["id"].to_numpy()[:, None] == ids[None, :]] = np.inf
-            take = min(k, len(known))
-            for query, row in zip(asked["id"], dist):
-                edge = np.partition(row, take - 1)[take - 1]
-                best = np.flatnonzero(row <= edge)
-                best = best[np.isfinite(row[best])]
-                best = best[np.argsort(row[best], kind="stable")][:take]
-                found.append(pd.DataFrame({"query": query, "id": ids[best], "dist": row[best]}))
+            query, place = _least(dist, k)
+            found.append(pd.DataFrame({"query": asked["id"].to_numpy()[query], "id": ids[place], "dist": dist[query, place]}))
         return pd.concat(found) if found else pd.DataFrame({"query": [], "id": [], "dist": []})
 
-    schema = f"query {queries.schema['id'].dataType.simpleString()}, {_field(train, 'id')}, dist double"
     keys = ["target", "qb", "sb"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(closest_in_block, schema)
-    best = Window.partitionBy("query").orderBy("dist", "id")
     return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
 
 

@@ -62,14 +62,20 @@ def og_statistics(og: DataFrame, genes: DataFrame) -> DataFrame:
     """
     cells = _cells(og)
     size = cells.groupBy("orthogroup").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("k"))
-    joined = cells.join(size.where("size > 1"), "orthogroup")
-    cubed = joined.groupingSets([("species",), ()], "species").agg(
-        F.grouping("species").alias("g"),
-        F.sum("n").alias("n_assigned"),
-        F.count_distinct("orthogroup").alias("n_orthogroups"),
-        F.count_distinct(F.when(F.col("k") == 1, F.col("orthogroup"))).alias("n_specific"),
-        F.sum(F.when(F.col("k") == 1, F.col("n")).otherwise(0)).alias("n_genes_specific"),
+    size = size.where("size > 1")
+
+    def counted(n: str) -> list:
+        # A row is one orthogroup, so nothing has to be made distinct.
+        return [
+            F.sum(n).alias("n_assigned"), F.count(F.lit(1)).alias("n_orthogroups"), F.count_if(F.col("k") == 1).alias("n_specific"),
+            F.sum(F.when(F.col("k") == 1, F.col(n)).otherwise(0)).alias("n_genes_specific"),
+        ]
+
+    each = cells.join(size, "orthogroup").groupBy("species").agg(*counted("n")).withColumn("g", F.lit(0).cast("tinyint"))
+    overall = size.agg(*counted("size")).where("n_orthogroups > 0").select(
+        F.lit(None).cast(cells.schema["species"].dataType).alias("species"), "*", F.lit(1).cast("tinyint").alias("g")
     )
+    cubed = each.unionByName(overall)
     totals = genes.groupingSets([("species",), ()], "species").agg(
         F.grouping("species").alias("g"), F.count(F.lit(1)).alias("n_genes")
     )

@@ -102,14 +102,15 @@ def smote_nc(
     cont, cat = list(cont), list(cat)
     pool = df.where(F.col(label) == F.lit(minority)).withColumn(key, F.col(key).cast("string"))
     # One driver-side row of |cont| numbers.
-    spread = pool.agg(*[F.stddev_pop(c).alias(c) for c in cont]).first()
+    spread = pool.agg(*[F.stddev_pop(c).alias(c) for c in cont]).first() if cont else []
     spread = sorted(v or 0.0 for v in spread)
     half = len(spread) // 2
-    cost = spread[half] if len(spread) % 2 else (spread[half - 1] + spread[half]) / 2
+    # Without continuous columns only unlike categories count, each as 1.
+    cost = 1.0 if not spread else spread[half] if len(spread) % 2 else (spread[half - 1] + spread[half]) / 2
     # Categories as coordinates: two different ones are exactly `cost` apart.
     coords = [F.col(c).cast("double") for c in cont]
     marks = F.array(*[F.concat_ws("=", F.lit(c), F.col(c).cast("string")) for c in cat]) if cat else None
-    rows = pool.select(F.col(key).alias("id"), F.array(*coords).alias("vec"), *([marks.alias("marks")] if cat else []))
+    rows = pool.select(F.col(key).alias("id"), F.array(*coords).cast("array<double>").alias("vec"), *([marks.alias("marks")] if cat else []))
     near = nearest(rows, rows, k=k, exclude_self=True, mark_cost=cost)
     picked = near.select(F.col("query").alias(key), F.col("id").alias("_other"), F.col("place"))
     neighbours = picked.join(

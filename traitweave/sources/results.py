@@ -11,11 +11,12 @@ from ..functions.columns import safe_name
 def write_results(df: DataFrame, path: str, target: str = "target") -> None:
     """One table for all targets, partitioned by the file-safe target name.
 
+    A target that is written again replaces what it had; other targets stay.
     Rebalancing on the target first gives few files per target, while AQE still
     splits a target that is too large for one task.
     """
     named = df.withColumn(target, safe_name(target)).hint("rebalance", target)
-    named.write.partitionBy(target).mode("append").parquet(path)
+    named.write.partitionBy(target).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:

@@ -23,7 +23,7 @@ from .tables import (
 # Split point of the mutual-rank distribution and bins as used for its plots.
 THRESHOLD = 20.0
 BINS, FAMILY_BINS = 50, 16
-ROUNDS = 200
+ROUNDS = 10_000
 
 
 def pairs(spark, sf):

@@ -29,7 +29,6 @@ def _multi(spark, sf):
             F.col("o_orderpriority").alias("species_a"), F.col("l_orderkey").cast("string").alias("gene_a"),
             F.col("p_type").alias("species_b"), F.concat_ws("-", "l_partkey", "l_suppkey").alias("gene_b"),
         )
-        .distinct()
     )
     return O.ortholog_multiplicity(pairs)
 

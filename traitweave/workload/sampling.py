@@ -43,27 +43,31 @@ def _shuffled_order(spark, sf):
     return X.shuffle_rows(people(spark, sf), "key", SEED).select("key", "y")
 
 
+# Width of the given embeddings; the sign of the first number doubles as a category.
+DIMS = 64
+
+
 def _smote(spark, sf):
     """Minority labels of the embeddings made as many as all others."""
     vectors = table(spark, sf, "embeddings")
-    cols = [F.element_at("embedding", i + 1).cast("double").alias(f"x{i}") for i in range(8)]
+    cols = [F.element_at("embedding", i + 1).cast("double").alias(f"x{i}") for i in range(DIMS)]
     wide = vectors.select(
         F.col("vec_id").alias("key"), (F.col("label") == 0).cast("int").alias("y"),
-        *cols, (F.element_at("embedding", 9) > 0).cast("int").alias("sign"),
+        *cols, (F.element_at("embedding", 1) > 0).cast("int").alias("sign"),
     )
     made = X.smote_nc(wide, "y", "key", XS, ["sign"], k=5, seed=SEED)
     return rounded(made, *XS)
 
 
-XS = [f"x{i}" for i in range(8)]
+XS = [f"x{i}" for i in range(DIMS)]
 SMOTE_SQL = f"""WITH wide AS (
   SELECT CAST(vec_id AS VARCHAR) AS key, CAST(label = 0 AS INTEGER) AS y,
-         {', '.join(f'CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}' for i in range(8))}, CAST(embedding[9] > 0 AS INTEGER) AS sign
+         {', '.join(f'CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}' for i in range(DIMS))}, CAST(embedding[1] > 0 AS INTEGER) AS sign
   FROM embeddings),
 pool AS (SELECT *, row_number() OVER (ORDER BY {hash_sql(SEED, 'key')}) AS r FROM wide WHERE y = 1),
-spread AS ({' UNION ALL '.join(f'SELECT stddev_pop(x{i}) AS s FROM pool' for i in range(8))}),
-d AS (SELECT a.key AS key, b.key AS other, b.sign AS osign, {', '.join(f'b.x{i} AS o{i}' for i in range(8))},
-        {' + '.join(f'(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})' for i in range(8))}
+spread AS ({' UNION ALL '.join(f'SELECT stddev_pop(x{i}) AS s FROM pool' for i in range(DIMS))}),
+d AS (SELECT a.key AS key, b.key AS other, b.sign AS osign, {', '.join(f'b.x{i} AS o{i}' for i in range(DIMS))},
+        {' + '.join(f'(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})' for i in range(DIMS))}
           + CASE WHEN a.sign <> b.sign THEN (SELECT median(s) * median(s) FROM spread) ELSE 0 END AS dist
       FROM pool a JOIN pool b ON a.key <> b.key),
 near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY dist, other) AS place FROM d) WHERE place <= 5),
@@ -72,9 +76,9 @@ modes AS (SELECT key, osign AS sign FROM (SELECT *, row_number() OVER (PARTITION
 draws AS (SELECT id, {hash_int_sql(f'{SEED}:base', 'id')} % (SELECT count(*) FROM pool) + 1 AS r,
             {hash_int_sql(f'{SEED}:pick', 'id')} % 5 + 1 AS place, {hash_int_sql(f'{SEED}:gap', 'id')} / CAST(4503599627370496 AS DOUBLE) AS gap
           FROM range((SELECT count(*) FILTER (y = 0) - count(*) FILTER (y = 1) FROM wide)) t(id))
-SELECT key, y, {', '.join(f'round(x{i}, 6) AS x{i}' for i in range(8))}, sign, false AS synthetic FROM wide
+SELECT key, y, {', '.join(f'round(x{i}, 6) AS x{i}' for i in range(DIMS))}, sign, false AS synthetic FROM wide
 UNION ALL
-SELECT 'syn_' || id, 1, {', '.join(f'round(x{i} + gap * (o{i} - x{i}), 6)' for i in range(8))}, modes.sign, true
+SELECT 'syn_' || id, 1, {', '.join(f'round(x{i} + gap * (o{i} - x{i}), 6)' for i in range(DIMS))}, modes.sign, true
 FROM draws JOIN pool USING (r) JOIN near ON near.key = pool.key AND near.place = draws.place JOIN modes ON modes.key = pool.key"""
 
 
