@@ -11,7 +11,9 @@
    components are paired further, across components, and only the classes
    outside the bucket's largest component meet the rest.
 4. Sizes and odd sketches discard candidates that are clearly below the
-   threshold; every link is confirmed on the full shingle sets.
+   threshold. Next to the sketch of the samples stands one of the whole set: each
+   odd bit of an XOR of those needs at least one shingle that only one text has,
+   so it discards without any error. Every link is confirmed on the full sets.
 
 With 28 bands of 4 rows two texts of similarity 0.8 share no band with
 probability (1 - 0.8^4)^28 = 4e-7; the sketch bound leaves out a pair of
@@ -44,6 +46,8 @@ from .common import (
 #: Bands, rows of a band, bits of an odd sketch (four words of 64).
 BANDS, BAND_ROWS, SKETCH_BITS = 28, 4, 256
 SAMPLES = BANDS * BAND_ROWS
+#: Bits of the parity bitmap over the whole set (sixteen words of 64).
+PARITY_BITS = 1024
 #: XOR bits up to which two sketches may be of similarity 0.8: the mean is 39 there, the bound six deviations above.
 SKETCH_SIGMAS = 6.0
 
@@ -86,22 +90,28 @@ def shingle_sets(texts: pa.Array, width: int):
         yield first, flat, np.concatenate([[0], np.cumsum(sizes)])
 
 
+def _parity(bits: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap of the bits that are hit an odd number of times."""
+    return np.packbits((np.bincount(bits, minlength=size) % 2).astype(np.uint8)).view(np.int64)
+
+
 _PROFILE = pa.struct([
     ("n", pa.int64()), ("print", pa.int64()), ("check", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())),
+    ("parity", pa.list_(pa.int64())),
 ])
 
 
 def profile(text: Column, width: int) -> Column:
     """Set size, a 128-bit fingerprint of the set, band keys and odd sketch; sketches are NULL for an empty set."""
 
-    @F.arrow_udf("struct<n:bigint,print:bigint,check:bigint,bands:array<bigint>,sketch:array<bigint>>")
+    @F.arrow_udf("struct<n:bigint,print:bigint,check:bigint,bands:array<bigint>,sketch:array<bigint>,parity:array<bigint>>")
     def profiled(texts: pa.Array) -> pa.Array:
         out = []
         for _, flat, bounds in shingle_sets(texts, width):
             for r in range(len(bounds) - 1):
                 s = flat[bounds[r]:bounds[r + 1]]
                 if not len(s):
-                    out.append((0, 0, 0, None, None))
+                    out.append((0, 0, 0, None, None, None))
                     continue
                 least = np.full(SAMPLES, np.iinfo(np.uint64).max, np.uint64)
                 for at in range(0, len(s), 4096):
@@ -113,11 +123,12 @@ def profile(text: Column, width: int) -> Column:
                     keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + rows[:, k])
                 # Sample i with its value falls on one bit; bits hit twice are even again.
                 bit = (mix(least + np.arange(SAMPLES, dtype=np.uint64)) % np.uint64(SKETCH_BITS)).astype(np.int64)
-                odd = np.bincount(bit, minlength=SKETCH_BITS) % 2
-                sketch = np.packbits(odd.astype(np.uint8)).view(np.int64)
-                both = mix(s).sum(), mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()
-                out.append((len(s), int(both[0].view(np.int64)), int(both[1].view(np.int64)), keys.view(np.int64), sketch))
-        columns = list(zip(*out, strict=True)) if out else [[]] * 5
+                sketch = _parity(bit, SKETCH_BITS)
+                spread = mix(s)
+                parity = _parity((spread % np.uint64(PARITY_BITS)).astype(np.int64), PARITY_BITS)
+                both = spread.sum(), mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()
+                out.append((len(s), int(both[0].view(np.int64)), int(both[1].view(np.int64)), keys.view(np.int64), sketch, parity))
+        columns = list(zip(*out, strict=True)) if out else [[]] * 6
         return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PROFILE, strict=True)], fields=list(_PROFILE))
 
     return profiled(text)
@@ -134,11 +145,17 @@ def shingle_set(text: Column, width: int) -> Column:
     return listed(text)
 
 
+def _odd_bits(a: str, b: str, words: int) -> Column:
+    xor = [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(words)]
+    return sum(xor[1:], xor[0])
+
+
 def _plausible(a: str, b: str, percent: int) -> Column:
     """Neither the sizes nor the odd sketches rule the pair out."""
     small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    xor = [F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(SKETCH_BITS // 64)]
-    return (small * 100 >= large * percent) & (sum(xor[1:], xor[0]) <= sketch_limit(percent))
+    # At similarity J two sets differ in (1 - J) / (1 + J) of their sizes' sum.
+    whole = _odd_bits(f"{a}.parity", f"{b}.parity", PARITY_BITS // 64) * (100 + percent) <= (small + large) * (100 - percent)
+    return (small * 100 >= large * percent) & (_odd_bits(f"{a}.sketch", f"{b}.sketch", SKETCH_BITS // 64) <= sketch_limit(percent)) & whole
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -167,7 +184,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = full.groupBy("class").agg(F.min("id").alias("rep_id"), F.min("uid").alias("rep"), F.max("n").alias("n"))
     reps = stored(reps, "reps")
     classes = full.join(reps.select(F.col("rep").alias("uid"), F.col("rep").alias("_r")), "uid", "left_semi")
-    classes = stored(classes.select(F.col("uid").alias("rep"), "n", "sketch", "bands").dropDuplicates(["rep"]), "classes")
+    classes = stored(classes.select(F.col("uid").alias("rep"), "n", "sketch", "parity", "bands").dropDuplicates(["rep"]), "classes")
 
     keys = classes.select("rep", F.explode("bands").alias("key"))
     order = F.xxhash64("rep")
@@ -175,31 +192,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = stored(shared.select("key", "h"), "shared")
     members = stored(keys.join(shared, "key").select("key", "rep", "h"), "members")
     inside = members.select("rep").distinct()
-    sketched = stored(classes.join(inside, "rep", "left_semi").select("rep", "n", "sketch"), "sketched")
+    sketched = stored(classes.join(inside, "rep", "left_semi").select("rep", "n", "sketch", "parity"), "sketched")
 
     texts = rows.join(sketched.select(F.col("rep").alias("uid")), "uid", "left_semi").dropDuplicates(["uid"])
     sets = stored(texts.select(F.col("uid").alias("rep"), shingle_set(F.col("text"), width).alias("set")), "sets")
 
-    def looked_up(pairs: DataFrame) -> DataFrame:
-        for side in ("a", "b"):
-            info = sketched.select(F.col("rep").alias(side), F.struct("n", "sketch").alias(f"{side}_"))
-            pairs = pairs.join(info, side)
-        return stored(pairs.where(_plausible("a_", "b_", percent)).select("a", "b"), "pairs")
-
-    # Round 1: each class and the bucket's centre, the class of least hash.
-    hashes = sketched.select(F.col("rep").alias("b"), F.xxhash64("rep").alias("h"))
-    stars = members.select(F.col("rep").alias("a"), "h").distinct().join(hashes, "h").where("a <> b").select("a", "b")
-    links = stored(_confirmed(looked_up(stars.distinct()), sets, percent), "links")
+    # Round 1: each class and the bucket's centre, the class of least hash. Buckets of like classes share few centres.
+    a = sketched.select(F.col("rep").alias("a"), F.struct("n", "sketch", "parity").alias("x"))
+    b = sketched.select(F.xxhash64("rep").alias("h"), F.col("rep").alias("b"), F.struct("n", "sketch", "parity").alias("y"))
+    stars = members.select(F.col("rep").alias("a"), "h").distinct().where(F.xxhash64("a") != F.col("h"))
+    stars = stars.join(a, "a").join(b, "h").where(_plausible("x", "y", percent)).select("a", "b")
+    links = stored(_confirmed(stored(stars, "stars"), sets, percent), "links")
     joined = components(links)
 
     # Round 2: across the components that a bucket still holds.
     known = stored(sketched.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "rep", "n", "sketch", F.coalesce("component", "rep").alias("comp")), "known")
+        "rep", "n", "sketch", "parity", F.coalesce("component", "rep").alias("comp")), "known")
     held = stored(members.select("key", "rep").join(known.select("rep", "comp"), "rep"), "held")
     parts = held.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     largest = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("c", "comp"))["comp"].alias("major"))
     largest = stored(largest.where("parts > 1").select("key", "major"), "largest")
-    open_rows = stored(held.join(largest, "key").join(known.select("rep", "n", "sketch"), "rep"), "open")
+    open_rows = stored(held.join(largest, "key").join(known.select("rep", "n", "sketch", "parity"), "rep"), "open")
     minor = open_rows.where("comp <> major").alias("x")
     anyone = open_rows.alias("y")
     across = (
