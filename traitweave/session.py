@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -39,7 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if known is None:
-        if not sc.master.startswith("local"):
+        if not re.match(r"local(\[|$)", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         known = tempfile.mkdtemp(prefix="traitweave-")
     if sc.getCheckpointDir() is None:
@@ -47,9 +51,28 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/traitweave-{uuid.uuid4().hex}/{name}"
+    """A fresh path below the shared folder, deleted when this Python process ends.
+
+    Results may read it until then, so nothing goes earlier.
+    """
+    folder = f"{shared_dir(spark)}/traitweave-{uuid.uuid4().hex}"
+    _made.append(folder)
+    return f"{folder}/{name}"
+
+
+@atexit.register
+def _sweep() -> None:
+    """Delete the scratch folders, through Spark's own file systems; without a JVM there is nothing to reach them by."""
+    jvm, context = SparkContext._jvm, SparkContext._active_spark_context
+    for folder in _made if jvm is not None else ():
+        with contextlib.suppress(Exception):
+            conf = context._jsc.hadoopConfiguration() if context is not None else jvm.org.apache.hadoop.conf.Configuration()
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -156,11 +156,11 @@ def _done(spark, sf):
     return _items(spark, sf).select(F.col("l_orderkey").alias("target"))
 
 
-def _labels(spark, sf):
+def _labels(spark, sf, numbers=("1", "2")):
     """Experiments (customers of a nation block) with numbered conditions; every
     third experiment has lettered tests."""
     number = F.floor(F.col("c_custkey") / 10)
-    k = (F.col("c_custkey") % 2 + 1).cast("string")
+    k = F.when(F.col("c_custkey") % 2 == 0, numbers[0]).otherwise(numbers[1])
     letter = F.when(number % 3 == 0, F.when(F.col("c_nationkey") % 2 == 0, "a").otherwise("b")).otherwise("")
     label = F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), F.concat(F.lit("control_"), k)).otherwise(
         F.concat(F.lit("test_"), k, letter)
@@ -264,6 +264,14 @@ QUERIES = {
         """SELECT l_suppkey, string_agg(o, ' ' ORDER BY o, n) AS id FROM (
           SELECT DISTINCT l_suppkey, lpad(CAST(l_orderkey AS VARCHAR), 8, '0') AS o, l_linenumber AS n FROM lineitem) GROUP BY 1""",
     ),
+    "single_transcripts_to_genes": (
+        lambda spark, sf: P.transcript_to_gene(
+            table(spark, sf, "orders").select(
+                F.concat(F.lit("AT"), F.col("o_orderkey"), F.lit(".1")).alias("transcript"), F.col("o_totalprice").alias("q")
+            ), "transcript",
+        ),
+        "SELECT 'AT' || o_orderkey AS transcript, o_totalprice AS q FROM orders",
+    ),
     "transcript_to_gene": (_transcripts, "SELECT 'AT' || l_orderkey AS transcript, max(l_quantity) AS q FROM lineitem GROUP BY 1"),
     "regulation_flags": (
         lambda spark, sf: P.regulation_flags(_differential(spark, sf)),
@@ -336,6 +344,12 @@ QUERIES = {
         (SELECT count(*) FROM (SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem)) AS n_missing""",
     ),
     "subexperiments": (lambda spark, sf: J.expand_subexperiments(_labels(spark, sf)), SUBEXPERIMENTS_SQL),
+    "subexperiments_by_prefix": (
+        lambda spark, sf: J.expand_subexperiments(_labels(spark, sf, ("1", "10")), substring_match=True),
+        SUBEXPERIMENTS_SQL.replace("(c_custkey % 2 + 1)", "CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 10 END").replace(
+            "ctl.num = tst.num", "CASE WHEN ctl.lettered THEN starts_with(tst.tag, ctl.num) ELSE ctl.num = tst.tag END"
+        ),
+    ),
     "stack_rows": (
         lambda spark, sf: J.stack_rows(
             table(spark, sf, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance")),
@@ -350,6 +364,10 @@ QUERIES = {
         nullif(count(*) FILTER (k = 1), 0) AS mob_counts, nullif(count(*) FILTER (k = 2), 0) AS tmh_counts
         FROM a WHERE k < 3 GROUP BY protein""",
     ),
+    "indicator_distinct": (
+        lambda spark, sf: A.indicator(_items(spark, sf).select("l_suppkey", "l_partkey"), "l_suppkey", "l_partkey", distinct=True, prefix="go_"),
+        f"WITH {INDICATOR} SELECT key, feature, CAST(1 AS BIGINT) AS value FROM ind",
+    ),
     "indicator_long": (_indicator, f"WITH {INDICATOR} SELECT * FROM ind"),
     "indicator_wide": (
         _wide_indicator,

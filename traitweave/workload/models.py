@@ -13,7 +13,7 @@ from ..operators import prep
 from ..operators import studies as ST
 from ..operators import tuning as TU
 from ..operators.neighbours import knn
-from ..operators.sampling import stratified_holdout, with_folds
+from ..operators.sampling import holdout, stratified_holdout, with_folds
 from ..session import scratch
 from ..sources import results as RES
 from .ontology import term_edges
@@ -121,12 +121,12 @@ def _ready(spark, sf):
 
 
 def _saved(spark, sf):
-    """Fit, save, load, predict."""
-    wide = _documents(spark, sf)
-    model = prep.preprocessor(CONTINUOUS, CATEGORICAL, M.rf_classifier(**SMALL)).fit(wide)
+    """Fit, save, load, predict the rows held out."""
+    parts = stratified_holdout(_documents(spark, sf), "label", "key", 0.1, SEED)
+    model = prep.preprocessor(CONTINUOUS, CATEGORICAL, M.rf_classifier(**SMALL)).fit(parts.where("part = 'train'"))
     path = scratch(spark, "model")
     RES.save_model(model, path)
-    return E.prediction_table(RES.load_model(path), wide)
+    return E.prediction_table(RES.load_model(path), parts.where("part = 'test'"))
 
 
 def _oob(spark, sf):
@@ -152,15 +152,47 @@ def _regressor(spark, sf):
         F.col("l_extendedprice").alias("label"), "l_quantity", "l_discount", "l_tax",
     )
     rows = VectorAssembler(inputCols=["l_quantity", "l_discount", "l_tax"], outputCol="features").transform(items)
-    model = M.rf_regressor(n_estimators=5, max_features="1.0", max_depth=6).fit(rows)
-    return E.r_squared(E.prediction_table(model, rows))
+    parts = holdout(rows, "key", 0.1, SEED)
+    model = M.rf_regressor(n_estimators=5, max_features="1.0", max_depth=6).fit(parts.where("part = 'train'"))
+    return E.r_squared(E.prediction_table(model, parts.where("part = 'test'")))
 
 
 def _complement(spark, sf):
     """Needs counts: words and lines of documents as they are."""
     cols = ["pep_words", "pep_lines", *CATEGORICAL]
     rows = VectorAssembler(inputCols=cols, outputCol="features").transform(_documents(spark, sf)).select("key", "label", "features")
-    return E.prf(E.confusion(E.prediction_table(M.naive_bayes("complement").fit(rows), rows)))
+    parts = stratified_holdout(rows, "label", "key", 0.1, SEED)
+    model = M.naive_bayes("complement").fit(parts.where("part = 'train'"))
+    return E.prf(E.confusion(E.prediction_table(model, parts.where("part = 'test'"))))
+
+
+_SCORES = """
+pred AS (SELECT key, y, max_by(c, score) AS h FROM scored GROUP BY key, y),
+conf AS (SELECT count(*) FILTER (y = 0 AND h = 0) AS tn, count(*) FILTER (y = 0 AND h = 1) AS fp,
+  count(*) FILTER (y = 1 AND h = 0) AS fn, count(*) FILTER (y = 1 AND h = 1) AS tp FROM pred)
+SELECT tn, fp, fn, tp, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)::DOUBLE AS f1,
+  coalesce(tp / nullif(tp + fp, 0), 0)::DOUBLE AS precision, coalesce(tp / nullif(tp + fn, 0), 0)::DOUBLE AS recall FROM conf"""
+
+# Balanced weights make the priors equal and leave means and variances within a class as they are.
+GAUSSIAN_SQL = f"""WITH num AS (
+  SELECT vec_id AS key, CAST(label = 0 AS INTEGER) AS y, CAST(embedding AS DOUBLE[]) AS v,
+    row_number() OVER (PARTITION BY label = 0 ORDER BY {hash_sql(SEED, 'vec_id')}) AS r, count(*) OVER (PARTITION BY label = 0) AS n FROM embeddings),
+cells AS (SELECT key, y, r <= round(n * 0.1) AS test, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM num),
+stats AS (SELECT y AS c, i, avg(x) AS m, var_pop(x) AS s FROM cells WHERE NOT test GROUP BY 1, 2),
+scored AS (SELECT key, y, c, sum(-0.5 * ln(s) - (x - m) * (x - m) / (2 * s)) AS score FROM cells JOIN stats USING (i) WHERE test GROUP BY 1, 2, 3),
+{_SCORES}"""
+
+# A class is weighed by how rare its features are in the other class, with one added to every count.
+COMPLEMENT_SQL = f"""WITH wide AS (
+  SELECT doc_id AS key, CAST(toxic AS INTEGER) AS y, [len(string_split_regex(text, '\s+')), len(string_split(text, chr(10))),
+    CAST(lang = 'en' AS INTEGER), CAST(lang = 'fr' AS INTEGER), CAST(lang = 'de' AS INTEGER), CAST(lang = 'es' AS INTEGER),
+    quality, CAST(regexp_matches(text, '[0-9]') AS INTEGER)] AS v FROM documents JOIN labels USING (doc_id)),
+num AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY {hash_sql(SEED, 'key')}) AS r, count(*) OVER (PARTITION BY y) AS n FROM wide),
+cells AS (SELECT key, y, r <= round(n * 0.1) AS test, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM num),
+others AS (SELECT 1 - y AS c, i, sum(x) + 1 AS s FROM cells WHERE NOT test GROUP BY 1, 2),
+logs AS (SELECT c, i, -ln(s / sum(s) OVER (PARTITION BY c)) AS w FROM others),
+scored AS (SELECT key, y, c, sum(x * w) AS score FROM cells JOIN logs USING (i) WHERE test GROUP BY 1, 2, 3),
+{_SCORES}"""
 
 
 def _grid(spark, sf):
@@ -200,9 +232,9 @@ def _importance(spark, sf):
 
 
 def _permutation(spark, sf):
-    rows = _ready(spark, sf).persist()
-    model = M.rf_classifier(**SMALL, weight="weight").fit(rows)
-    return ST.permutation_importance(model, rows, CONTINUOUS + CATEGORICAL, 3, SEED)
+    parts = stratified_holdout(_ready(spark, sf), "label", "key", 0.2, SEED).persist()
+    model = M.rf_classifier(**SMALL, weight="weight").fit(parts.where("part = 'train'"))
+    return ST.permutation_importance(model, parts.where("part = 'test'"), CONTINUOUS + CATEGORICAL, 5, SEED)
 
 
 def _blocks(spark, sf):
@@ -278,8 +310,8 @@ QUERIES = {
     "logistic_regression": (_fitted(lambda t: M.logistic(t.count(), 1.0, 50, "weight").fit(t)), None),
     "linear_svm": (_fitted(lambda t: M.linear_svm(t.count(), 1.0, 50, "weight").fit(t)), None),
     "multilayer_perceptron": (_fitted(lambda t: M.mlp(64, 2, 50, 30).fit(t)), None),
-    "gaussian_naive_bayes": (_fitted(lambda t: M.naive_bayes("gaussian", "weight").fit(t)), None),
-    "complement_naive_bayes": (_complement, None),
+    "gaussian_naive_bayes": (_fitted(lambda t: M.naive_bayes("gaussian", "weight").fit(t)), GAUSSIAN_SQL),
+    "complement_naive_bayes": (_complement, COMPLEMENT_SQL),
     "saved_model_predictions": (_saved, None),
     "grid_search": (_grid, None),
     "random_search": (_random, None),

@@ -123,6 +123,15 @@ QUERIES = {
         WHERE 'go_' || term IN (SELECT feature FROM cells)
         UNION SELECT feature, feature FROM cells""",
     ),
+    "mate_exclusions": (
+        lambda spark, sf: T.mate_exclusions(
+            table(spark, sf, "lineitem").select(
+                F.concat_ws("_", F.lit("dge"), "l_partkey", F.when(F.col("l_returnflag") == "A", "up").otherwise("down")).alias("target")
+            )
+        ),
+        """SELECT DISTINCT 'dge_' || l_partkey || CASE WHEN l_returnflag = 'A' THEN '_up' ELSE '_down' END AS target,
+        'dge_' || l_partkey || CASE WHEN l_returnflag = 'A' THEN '_down' ELSE '_up' END AS feature FROM lineitem""",
+    ),
     "leak_safe_features": (
         _leak_safe,
         f"""WITH RECURSIVE {EDGES}, {MATRIX}
