@@ -120,6 +120,15 @@ def _ready(spark, sf):
     return prep.with_balanced_weight(rows, "label")
 
 
+def _weighted(spark, sf):
+    """Documents as they are: what is fitted on them is fitted within the training part of each fold."""
+    return prep.with_balanced_weight(_documents(spark, sf), "label")
+
+
+def _piped(estimator):
+    return prep.preprocessor(CONTINUOUS, CATEGORICAL, estimator)
+
+
 def _saved(spark, sf):
     """Fit, save, load, predict the rows held out."""
     parts = stratified_holdout(_documents(spark, sf), "label", "key", 0.1, SEED)
@@ -196,36 +205,82 @@ scored AS (SELECT key, y, c, sum(x * w) AS score FROM cells JOIN logs USING (i)
 
 
 def _grid(spark, sf):
-    rows = with_folds(_ready(spark, sf), "label", "key", 3, SEED).persist()
+    rows = with_folds(_weighted(spark, sf), "label", "key", 3, SEED).persist()
     grid = {"numTrees": [3, 5], "maxDepth": [3, 5]}
-    return TU.grid_search(rows, M.rf_classifier(**SMALL, weight="weight"), grid, "fold").results
+    return TU.grid_search(rows, _piped(M.rf_classifier(**SMALL, weight="weight")), grid, "fold").results
 
 
 def _random(spark, sf):
-    rows = with_folds(_ready(spark, sf), "label", "key", 3, SEED).persist()
+    rows = with_folds(_weighted(spark, sf), "label", "key", 3, SEED).persist()
     grid = {"numTrees": [3, 5, 8], "maxDepth": [2, 3, 5], "minInfoGain": [0.0, 0.001, 0.001]}
-    return TU.random_search(rows, M.rf_classifier(**SMALL, weight="weight"), grid, 4, SEED, "fold", "precision").results
+    return TU.random_search(rows, _piped(M.rf_classifier(**SMALL, weight="weight")), grid, 4, SEED, "fold", "precision").results
 
 
 def _drawn(spark, sf):
-    rows = with_folds(_ready(spark, sf), "label", "key", 3, SEED).persist()
+    rows = with_folds(_weighted(spark, sf), "label", "key", 3, SEED).persist()
     dists = {"regParam": ("loguniform", 1e-4, 1e-1), "maxIter": ("int", 10, 30)}
     candidates = TU.draw_params(dists, 3, SEED)
-    return TU.search(rows, M.logistic(rows.count(), weight="weight"), candidates, "fold").results
+    return TU.search(rows, _piped(M.logistic(rows.count(), weight="weight")), candidates, "fold").results
 
 
 def _nested(spark, sf):
-    rows = _ready(spark, sf).persist()
-    models = {"tree": (M.decision_tree(max_depth=4, weight="weight"), {"maxDepth": [2, 4]})}
+    rows = _weighted(spark, sf).persist()
+    models = {"tree": (_piped(M.decision_tree(max_depth=4, weight="weight")), {"maxDepth": [2, 4]})}
     return TU.nested_cv(rows, models, outer=3, inner=2, n_iter=2, seed=SEED)
 
 
 def _compare(spark, sf):
-    rows = with_folds(_ready(spark, sf), "label", "key", 3, SEED).persist()
-    models = {"tree": M.decision_tree(max_depth=4, weight="weight"), "forest": M.rf_classifier(**SMALL, weight="weight")}
+    rows = with_folds(_weighted(spark, sf), "label", "key", 3, SEED).persist()
+    models = {"tree": _piped(M.decision_tree(max_depth=4, weight="weight")), "forest": _piped(M.rf_classifier(**SMALL, weight="weight"))}
     return TU.compare_models(rows, models, "fold")
 
 
+def _compare_bayes(spark, sf):
+    """Gaussian naive Bayes on the folds of the embeddings."""
+    rows = with_folds(vectors(spark, sf), "label", "key", 3, SEED).persist()
+    return TU.compare_models(rows, {"bayes": M.naive_bayes("gaussian")}, "fold")
+
+
+def _curve_bayes(spark, sf):
+    found = ST.learning_curve(vectors(spark, sf), M.naive_bayes("gaussian"), FRACTIONS, 3, SEED)
+    return rounded(found, "mean", "std")
+
+
+FRACTIONS = [0.1, 0.4, 0.7, 1.0]
+
+
+def _bayes_sql(parts: str) -> str:
+    """Gaussian naive Bayes for each ``g`` of rows ``(g, key, y, v, test)``; ``scored`` has one row per class."""
+    return f"""parts AS ({parts}),
+cells AS (SELECT g, key, y, test, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM parts),
+prior AS (SELECT g, y AS c, ln(count(*) / sum(count(*)) OVER (PARTITION BY g)) AS p FROM parts WHERE NOT test GROUP BY g, y),
+stats AS (SELECT g, y AS c, i, avg(x) AS m, var_pop(x) AS s FROM cells WHERE NOT test GROUP BY 1, 2, 3),
+scored AS (SELECT g, key, y, test, c, any_value(p) + sum(-0.5 * ln(s) - (x - m) * (x - m) / (2 * s)) AS score
+           FROM cells JOIN stats USING (g, i) JOIN prior USING (g, c) GROUP BY 1, 2, 3, 4, 5),
+pred AS (SELECT g, key, y, test, max_by(c, score) AS h FROM scored GROUP BY 1, 2, 3, 4)"""
+
+
+_EMBEDDED = "SELECT vec_id AS key, CAST(label = 0 AS INTEGER) AS y, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"
+COMPARE_BAYES_SQL = f"""WITH e AS ({_EMBEDDED}),
+f AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY {hash_sql(SEED, 'key')}) % 3 AS fold FROM e),
+{_bayes_sql("SELECT g, key, y, v, fold = g AS test FROM f, range(3) t(g)")},
+conf AS (SELECT g, count(*) FILTER (y = 0 AND h = 0) AS tn, count(*) FILTER (y = 0 AND h = 1) AS fp,
+  count(*) FILTER (y = 1 AND h = 0) AS fn, count(*) FILTER (y = 1 AND h = 1) AS tp FROM pred WHERE test GROUP BY g)
+SELECT 'bayes' AS model, CAST(g AS INTEGER) AS fold, tn, fp, fn, tp, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)::DOUBLE AS f1,
+  coalesce(tp / nullif(tp + fp, 0), 0)::DOUBLE AS precision, coalesce(tp / nullif(tp + fn, 0), 0)::DOUBLE AS recall FROM conf"""
+
+# The rows of a part are scored twice, as training rows (t) and in the fold left out.
+CURVE_BAYES_SQL = f"""WITH e AS ({_EMBEDDED}),
+f AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY {hash_sql(f'{SEED}:fold', 'key')}) % 3 AS fold FROM e),
+o AS (SELECT k, key, y, v, fold = k AS test, row_number() OVER (PARTITION BY k, fold = k ORDER BY {hash_sql(f'{SEED}:part', 'key')}) AS r,
+        count(*) OVER (PARTITION BY k, fold = k) AS n FROM f, range(3) t(k)),
+{_bayes_sql("SELECT CAST(k AS VARCHAR) || '|' || fraction AS g, key, y, v, test FROM o, (SELECT unnest(" + str(FRACTIONS) + ") AS fraction) "
+            "WHERE test OR r <= floor(n * fraction + 1e-9)")},
+right_share AS (SELECT CAST(split_part(g, '|', 2) AS DOUBLE) AS fraction, CASE WHEN test THEN 'test' ELSE 'train' END AS part, g,
+            avg(CAST(h = y AS INTEGER)) AS score FROM pred GROUP BY 1, 2, 3)
+SELECT fraction, part, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std FROM right_share GROUP BY 1, 2"""
+
+
 def _importance(spark, sf):
     rows = _ready(spark, sf)
     return ST.importance_table(spark, M.rf_classifier(**SMALL, weight="weight").fit(rows), CONTINUOUS + CATEGORICAL)
@@ -246,7 +301,7 @@ def _blocks(spark, sf):
 
 
 def _curve(spark, sf):
-    return ST.learning_curve(_ready(spark, sf).persist(), M.decision_tree(max_depth=4, weight="weight"), [0.3, 0.6, 1.0], 2, SEED)
+    return ST.learning_curve(_weighted(spark, sf), _piped(M.decision_tree(max_depth=4, weight="weight")), [0.3, 0.6, 1.0], 2, SEED)
 
 
 def _repeated(spark, sf):
@@ -318,6 +373,8 @@ QUERIES = {
     "drawn_parameter_search": (_drawn, None),
     "nested_cross_validation": (_nested, None),
     "model_comparison": (_compare, None),
+    "naive_bayes_comparison": (_compare_bayes, COMPARE_BAYES_SQL),
+    "naive_bayes_learning_curve": (_curve_bayes, CURVE_BAYES_SQL),
     "importance_table": (_importance, None),
     "permutation_importance": (_permutation, None),
     "feature_block_curve": (_blocks, None),
