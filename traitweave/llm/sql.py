@@ -103,7 +103,7 @@ large AS (
   SELECT key, k - 1 AS shard FROM ranked r
   WHERE k < 16 AND NOT EXISTS (SELECT 1 FROM ranked q WHERE q.k <= r.k AND q.n * (17 - q.k) <= q.total - (q.upto - q.n))),
 m AS (SELECT 16 - count(*) AS shards FROM large),
-rest AS (SELECT key, n, row_number() OVER (ORDER BY key) AS i FROM groups ANTI JOIN large USING (key)),
+rest AS (SELECT key, n, row_number() OVER (ORDER BY key) AS i, CAST(sum(n) OVER (ORDER BY key) AS BIGINT) AS p FROM groups ANTI JOIN large USING (key)),
 sizes AS (SELECT list({{'load': n, 'shard': CAST(1 AS BIGINT)}} ORDER BY i) AS l, max(n) AS most, CAST(sum(n) AS BIGINT) AS total FROM rest),
 search AS (
   SELECT most AS lo, total AS hi FROM sizes
@@ -112,12 +112,13 @@ search AS (
   FROM (SELECT lo, hi, list_reduce(l, lambda a, b: CASE WHEN a.load + b.load <= (lo + hi) // 2 THEN {{'load': a.load + b.load, 'shard': a.shard}}
                ELSE {{'load': b.load, 'shard': a.shard + 1}} END).shard <= shards AS fits FROM search, sizes, m WHERE lo < hi)),
 capacity AS (SELECT lo AS c FROM search WHERE lo = hi LIMIT 1),
-packed AS (
-  SELECT i, key, n AS load, CAST(0 AS BIGINT) AS shard FROM rest WHERE i = 1
+starts AS (
+  SELECT CAST(0 AS BIGINT) AS shard, CAST(0 AS BIGINT) AS base
   UNION ALL
-  SELECT r.i, r.key, CASE WHEN p.load + r.n <= c THEN p.load + r.n ELSE r.n END, CASE WHEN p.load + r.n <= c THEN p.shard ELSE p.shard + 1 END
-  FROM packed p JOIN rest r ON r.i = p.i + 1, capacity),
-places AS (SELECT key, CAST(shard + 16 - shards AS INTEGER) AS shard FROM packed, m UNION ALL SELECT key, CAST(shard AS INTEGER) FROM large)
+  SELECT any_value(shard) + 1, max(p) FROM starts, rest, capacity, sizes WHERE base < total AND p <= base + c GROUP BY shard),
+places AS (
+  SELECT key, CAST((SELECT max(shard) FROM starts WHERE base <= p - n) + 16 - shards AS INTEGER) AS shard FROM rest, m
+  UNION ALL SELECT key, CAST(shard AS INTEGER) FROM large)
 SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
        row_number() OVER (PARTITION BY shard ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, key) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
 FROM keys JOIN places USING (key) JOIN crc USING (doc_id)"""
