@@ -62,20 +62,17 @@ def recompress(words: np.ndarray, bounds: np.ndarray, rounds: int = ROUNDS):
     left, right = first, first + 1
     levels = [(name[at], at, at, at + 1)]
     for k in range(rounds):
-        # Runs: a maximal run of one word. That it ends, or that a word is no run, its neighbours decide. Later
+        # Runs: a maximal run of one word. That it ends, or that a word is no run, the word on each side decides. Later
         # runs stand for periods of several words; they are left to the windows, as each round of runs widens contexts.
         if k == 0:
             same = (name[1:] == name[:-1]) & ~border[1:] & ~border[:-1]
             head = np.flatnonzero(np.concatenate([[True], ~same]))
             length = np.diff(np.concatenate([head, [len(name)]]))
-            left, right = np.minimum.reduceat(left, head), np.maximum.reduceat(right, head)
+            last = first[head + length - 1]
             name, border, first = name[head], border[head], first[head]
             runs = np.flatnonzero(length > 1)
             name[runs] = mix(name[runs] * _RUN + length[runs].astype(np.uint64))
-            beside_left, beside_right = left.copy(), right.copy()
-            beside_left[1:] = np.minimum(left[1:], left[:-1])
-            beside_right[:-1] = np.maximum(right[:-1], right[1:])
-            left, right = beside_left, beside_right
+            left, right = first - 1, last + 2
         # Pairs: the coin of a symbol in this round says on which side it merges.
         coin = (mix(name + np.uint64((k + 1) * int(_PAIR) & (1 << 64) - 1)) >> np.uint64(63)).astype(bool)
         opens = ~border & coin
