@@ -7,9 +7,9 @@
 2. Texts with the same set are one class, its smallest document stands for it.
 3. Classes that share a band key are candidates. They are not paired with each
    other: first every class is compared with one centre of its bucket, and the
-   links found are contracted to components. Only buckets that still hold several
-   components are paired further, across components, and only the classes
-   outside the bucket's largest component meet the rest.
+   links found are contracted to components. In buckets that still hold several
+   components, the classes outside the largest one are compared with a few random
+   members of it; those that are left after that meet the rest of the bucket.
 4. Sizes and odd sketches discard candidates that are clearly below the
    threshold. Next to the sketch of the samples stands one of the whole set: each
    odd bit of an XOR of those needs at least one shingle that only one text has,
@@ -46,6 +46,8 @@ from .common import (
 #: Bands, rows of a band, bits of an odd sketch (four words of 64).
 BANDS, BAND_ROWS, SKETCH_BITS = 28, 4, 256
 SAMPLES = BANDS * BAND_ROWS
+#: Random members of a bucket's largest component that the classes outside of it are compared with.
+CENTRES = 4
 #: Bits of the parity bitmap over the whole set (sixteen words of 64).
 PARITY_BITS = 1024
 #: XOR bits up to which two sketches may be of similarity 0.8: the mean is 39 there, the bound six deviations above.
@@ -167,6 +169,17 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(shared * 100 >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
+def _open_buckets(members: DataFrame, sketched: DataFrame, joined: DataFrame) -> DataFrame:
+    """Rows ``(key, rep, comp, major, n, sketch, parity)`` of the buckets that hold several components; ``major`` is the largest."""
+    known = sketched.join(joined.withColumnRenamed("node", "rep"), "rep", "left")
+    known = stored(known.withColumn("comp", F.coalesce("component", "rep")).drop("component"), "known")
+    held = stored(members.select("key", "rep").join(known.select("rep", "comp"), "rep"), "held")
+    parts = held.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    largest = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("c", "comp"))["comp"].alias("major"))
+    largest = stored(largest.where("parts > 1").select("key", "major"), "largest")
+    return stored(held.join(largest, "key").join(known.drop("comp"), "rep"), "open")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``(uid, id, n_shingles, component)`` per row of ``docs``; ``component`` is the smallest id reachable.
 
@@ -205,24 +218,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = stored(_confirmed(stored(stars, "stars"), sets, percent), "links")
     joined = components(links)
 
-    # Round 2: across the components that a bucket still holds.
-    known = stored(sketched.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "rep", "n", "sketch", "parity", F.coalesce("component", "rep").alias("comp")), "known")
-    held = stored(members.select("key", "rep").join(known.select("rep", "comp"), "rep"), "held")
-    parts = held.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    largest = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("c", "comp"))["comp"].alias("major"))
-    largest = stored(largest.where("parts > 1").select("key", "major"), "largest")
-    open_rows = stored(held.join(largest, "key").join(known.select("rep", "n", "sketch", "parity"), "rep"), "open")
+    # Round 2: classes outside a bucket's largest component and a few random members of that component.
+    open_rows = _open_buckets(members, sketched, joined)
+    pick = [F.min_by("rep", F.xxhash64(F.lit(i), "rep", "key")) for i in range(CENTRES)]
+    centres = open_rows.where("comp = major").groupBy("key").agg(F.array(*pick).alias("b"))
+    centres = stored(centres.select("key", F.explode("b").alias("b")), "centres")
+    again = open_rows.where("comp <> major").select("key", F.col("rep").alias("a"), F.struct("n", "sketch", "parity").alias("x"))
+    again = again.join(centres, "key").drop("key").join(b.drop("h"), "b").where(_plausible("x", "y", percent)).select("a", "b").distinct()
+    linked = stored(_confirmed(stored(again, "again"), sets, percent), "more")
+    joined = components(joined.toDF("a", "b").unionByName(linked))
+
+    # Round 3: across the components that a bucket still holds.
+    open_rows = _open_buckets(members, sketched, joined)
     minor = open_rows.where("comp <> major").alias("x")
     anyone = open_rows.alias("y")
     across = (
         (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp"))
         & ((F.col("y.comp") == F.col("y.major")) | (F.col("x.rep") < F.col("y.rep"))) & _plausible("x", "y", percent)
     )
-    more = minor.join(anyone, across).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    more = stored(_confirmed(stored(more, "more"), sets, percent), "more_links")
-    if not more.isEmpty():
-        joined = components(links.unionByName(more))
+    last = minor.join(anyone, across).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    last = stored(_confirmed(stored(last, "last"), sets, percent), "last_links")
+    if not last.isEmpty():
+        joined = components(joined.toDF("a", "b").unionByName(last))
 
     # The smallest id of a component names it; classes and rows take the name.
     named = reps.select("class", "rep", "rep_id", "n").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
