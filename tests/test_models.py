@@ -4,6 +4,7 @@ import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from traitweave.operators import estimators as ES
 from traitweave.operators import evaluation as E
 from traitweave.operators import models as M
 from traitweave.operators import ontology as T
@@ -75,9 +76,34 @@ def test_bagging_scores_rows_not_seen(rows_):
 
 
 def test_adaboost(rows_):
-    model = M.adaboost(rows_, 4)
+    model = ES.AdaBoost(4).fit(rows_)
     assert 1 <= len(model.stumps) <= 4
     assert _auc(model, rows_) > 0.9
+    assert sum(model.featureImportances) == pytest.approx(1)
+
+
+def test_own_estimators_in_searches(spark, rows_, tmp_path, rows):
+    folds = with_folds(rows_, "label", "key", 2, 1).persist()
+    boosted = TU.grid_search(folds, ES.AdaBoost(2), {"numTrees": [1, 3], "stepSize": [0.5, 1.0]}, "fold")
+    near = TU.grid_search(folds, ES.KNearest(3), {"k": [1, 5], "weights": ["uniform", "distance"]}, "fold")
+    assert boosted.results.count() == near.results.count() == 4
+    scores = TU.compare_models(folds, {"boost": ES.AdaBoost(2), "near": ES.KNearest(3), "tree": M.decision_tree(2)}, "fold")
+    assert scores.count() == 6 and scores.agg(F.min("f1")).first()[0] > 0.5
+    for found, kind in ((boosted, ES.AdaBoostVote), (near, ES.KNearestVote)):
+        path = str(tmp_path / kind.__name__)
+        found.best.save(path)
+        back = kind.load(path)
+        assert rows(back.transform(rows_), "key", "prediction") == rows(found.best.transform(rows_), "key", "prediction")
+
+
+def test_stumps_vote_like_their_trees(rows_):
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    tree = DecisionTreeClassifier(maxDepth=1, seed=1).fit(rows_)
+    stump = ES.stump_of(tree)
+    stump.weight = 1.0
+    said = ES.AdaBoostVote([stump], 9).transform(tree.setPredictionCol("tree").transform(rows_))
+    assert said.where("tree <> prediction").count() == 0
 
 
 def test_search(rows_):

@@ -7,7 +7,6 @@ loops over MLlib trees: weights are md5 columns, so a retry sees the same bags.
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.ml.classification import (
@@ -168,51 +167,3 @@ def balanced_rf(df: DataFrame, n_trees: int = 50, params: dict | None = None, se
     return votes.select(
         key, F.col("label").alias("y_true"), F.col("p1").alias("score"), (F.col("p1") > 0.5).cast("int").alias("y_hat")
     )
-
-
-class AdaBoostModel:
-    """Weighted vote of stumps."""
-
-    def __init__(self, stumps: list, alphas: list[float]):
-        self.stumps, self.alphas = stumps, alphas
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        score = F.lit(0.0)
-        out = df
-        for i, (stump, alpha) in enumerate(zip(self.stumps, self.alphas)):
-            scored = stump.setPredictionCol(f"_s{i}").setRawPredictionCol("").setProbabilityCol("")
-            out = scored.transform(out)
-            score = score + F.lit(alpha) * (2 * F.col(f"_s{i}") - 1)
-        out = out.withColumn("score", score).drop(*[f"_s{i}" for i in range(len(self.stumps))])
-        return out.withColumn("prediction", (F.col("score") > 0).cast("double"))
-
-
-def adaboost(df: DataFrame, n: int = 50, rate: float = 1.0, seed=42, checkpoint_every: int = 10) -> AdaBoostModel:
-    """Two-class discrete boosting of depth-1 trees.
-
-    The row weights are a column; each round needs one aggregate for the error.
-    Weights are left unnormalised until fitting, where only their ratio counts.
-    """
-    current = df.withColumn("boost", F.lit(1.0))
-    stumps, alphas = [], []
-    for t in range(n):
-        stump = DecisionTreeClassifier(maxDepth=1, weightCol="boost", seed=seed).fit(current)
-        scored = stump.transform(current)
-        miss = (F.col("prediction") != F.col("label")).cast("double")
-        row = scored.agg(F.sum(F.col("boost") * miss).alias("bad"), F.sum("boost").alias("all")).first()
-        error = row["bad"] / row["all"]
-        if error >= 0.5:
-            if not stumps:
-                stumps, alphas = [stump], [0.0]
-            break
-        stumps.append(stump)
-        if error <= 0:
-            alphas.append(1.0)
-            break
-        alpha = rate * math.log((1 - error) / error)
-        alphas.append(alpha)
-        boosted = F.col("boost") * F.exp(F.lit(alpha) * miss) / F.lit(row["all"] * (1 - error + error * math.exp(alpha)))
-        current = scored.withColumn("boost", boosted).select(*current.columns)
-        if (t + 1) % checkpoint_every == 0:
-            current = checkpointed(current)
-    return AdaBoostModel(stumps, alphas)

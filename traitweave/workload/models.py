@@ -6,6 +6,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from ..operators import estimators as ES
 from ..operators import evaluation as E
 from ..operators import models as M
 from ..operators import ontology as T
@@ -235,6 +236,45 @@ def _compare(spark, sf):
     return TU.compare_models(rows, models, "fold")
 
 
+def _boost_search(spark, sf):
+    """Rounds by learning rate, as the studied grids of nine candidates."""
+    rows = with_folds(vectors(spark, sf), "label", "key", 3, SEED).persist()
+    grid = {"numTrees": [5, 10, 20], "stepSize": [0.1, 0.5, 1.0]}
+    return TU.grid_search(rows, ES.AdaBoost(seed=SEED), grid, "fold").results
+
+
+def _knn_search(spark, sf):
+    rows = with_folds(vectors(spark, sf), "label", "key", 3, SEED).persist()
+    found = TU.grid_search(rows, ES.KNearest(), {"k": [3, 5, 9], "weights": ["uniform", "distance"]}, "fold", "accuracy")
+    return rounded(found.results, "mean", "std")
+
+
+def _five(spark, sf):
+    """Five kinds of model on the same folds."""
+    rows = with_folds(prep.with_balanced_weight(vectors(spark, sf), "label"), "label", "key", 3, SEED).persist()
+    models = {
+        "forest": M.rf_classifier(**SMALL, weight="weight"), "boost": ES.AdaBoost(10, seed=SEED), "near": ES.KNearest(),
+        "logistic": M.logistic(rows.count(), weight="weight"), "svm": M.linear_svm(rows.count(), weight="weight"),
+    }
+    return TU.compare_models(rows, models, "fold")
+
+
+KNN_SEARCH_SQL = f"""WITH e AS (SELECT vec_id AS key, CAST(label = 0 AS INTEGER) AS y, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+f AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY {hash_sql(SEED, 'key')}) % 3 AS fold FROM e),
+d AS (SELECT a.key, a.y, a.fold, b.key AS id, b.y AS label, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS dist
+      FROM f a JOIN f b ON a.fold <> b.fold),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY dist, id) AS place FROM d) WHERE place <= 9),
+grid AS (SELECT k, w, CAST(row_number() OVER (ORDER BY i, j) - 1 AS INTEGER) AS candidate
+         FROM (VALUES (1, 3), (2, 5), (3, 9)) a(i, k), (VALUES (1, 'uniform'), (2, 'distance')) b(j, w)),
+votes AS (SELECT candidate, k, w, fold, key, y, label, sum(CASE WHEN w = 'uniform' THEN 1.0
+            WHEN least_dist = 0 THEN CAST(dist = 0 AS INTEGER) ELSE 1.0 / dist END) AS s
+          FROM (SELECT *, min(dist) OVER (PARTITION BY key) AS least_dist FROM near), grid WHERE place <= k GROUP BY ALL),
+said AS (SELECT candidate, k, w, fold, key, y, first(label ORDER BY s DESC, label) AS h FROM votes GROUP BY 1, 2, 3, 4, 5, 6),
+scores AS (SELECT candidate, k, w, fold, avg(CAST(h = y AS INTEGER)) AS score FROM said GROUP BY 1, 2, 3, 4)
+SELECT candidate, 'k=' || k || ', weights=' || w AS params, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std
+FROM scores GROUP BY candidate, k, w"""
+
+
 def _compare_bayes(spark, sf):
     """Gaussian naive Bayes on the folds of the embeddings."""
     rows = with_folds(vectors(spark, sf), "label", "key", 3, SEED).persist()
@@ -360,7 +400,10 @@ QUERIES = {
     "oob_forest_regressor": (_oob_regression, None),
     "balanced_forest": (_balanced, None),
     "decision_tree": (_fitted(lambda t: M.decision_tree(max_depth=6, weight="weight").fit(t)), None),
-    "ada_boost": (_fitted(lambda t: M.adaboost(t, 6, 1.0, SEED)), None),
+    "ada_boost": (_fitted(lambda t: ES.AdaBoost(50, 1.0, SEED).fit(t)), None),
+    "ada_boost_search": (_boost_search, None),
+    "knn_search": (_knn_search, KNN_SEARCH_SQL),
+    "five_model_comparison": (_five, None),
     "gradient_boosting": (_fitted(lambda t: M.gbt(n_estimators=5, weight="weight").fit(t)), None),
     "logistic_regression": (_fitted(lambda t: M.logistic(t.count(), 1.0, 50, "weight").fit(t)), None),
     "linear_svm": (_fitted(lambda t: M.linear_svm(t.count(), 1.0, 50, "weight").fit(t)), None),
