@@ -193,7 +193,7 @@ scored AS (SELECT key, y, c, sum(-0.5 * ln(s) - (x - m) * (x - m) / (2 * s)) AS
 {_SCORES}"""
 
 # A class is weighed by how rare its features are in the other class, with one added to every count.
-COMPLEMENT_SQL = f"""WITH wide AS (
+COMPLEMENT_SQL = rf"""WITH wide AS (
   SELECT doc_id AS key, CAST(toxic AS INTEGER) AS y, [len(string_split_regex(text, '\s+')), len(string_split(text, chr(10))),
     CAST(lang = 'en' AS INTEGER), CAST(lang = 'fr' AS INTEGER), CAST(lang = 'de' AS INTEGER), CAST(lang = 'es' AS INTEGER),
     quality, CAST(regexp_matches(text, '[0-9]') AS INTEGER)] AS v FROM documents JOIN labels USING (doc_id)),
