@@ -378,7 +378,7 @@ def test_wrapper_finds_unmarked_template(spark):
 
 
 def test_tree_matching_keeps_order():
-    a, b = (html_extract.Page(h).root for h in (
+    a, b = (html_extract.skeleton(html_extract.Page(h).root) for h in (
         "<div><p>x</p><ul><li>1</ul><h2>t</h2></div>", "<div><h3>n</h3><p>x</p><h2>u</h2><p>z</p></div>"))
     votes = {}
     html_extract.match(a, b, "", votes)

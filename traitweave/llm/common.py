@@ -3,6 +3,7 @@ survive hot keys, connected components and word hashing over Arrow buffers."""
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 import numpy as np
@@ -12,10 +13,11 @@ from pyspark.sql import functions as F
 
 from ..session import scratch
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows and bytes of one Arrow batch; a longer text is a batch of its own.
 BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
 #: Bytes of text that are turned into words at a time.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 17
 #: A key is hot when it holds more than one row in HOT_SHARE; there are at most HOT_SHARE hot keys.
 HOT_SHARE = 1_000
 
@@ -24,15 +26,25 @@ def prepare(spark: SparkSession) -> None:
     """Settings of this session that the operators rely on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    # Shuffle files go when the job that made them ends; what is needed later is a written table.
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
 
 
+@contextlib.contextmanager
+def _tidy(spark: SparkSession):
+    """Within, shuffle files go when the job that made them ends: what is needed later is the written table."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends, a lost executor loses nothing."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    with _tidy(df.sparkSession):
+        df.write.parquet(path)
     read = df.sparkSession.read.schema(df.schema).parquet(path)
     read.stored_at = path
     return read
@@ -45,7 +57,8 @@ def stored_by(df: DataFrame, name: str, key: str) -> DataFrame:
     path, table = scratch(spark, name), f"{name}_{uuid.uuid4().hex}"
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}'")
-    df.write.insertInto(table)
+    with _tidy(spark):
+        df.write.insertInto(table)
     read = spark.table(table)
     read.stored_at = path
     return read

@@ -26,7 +26,7 @@ from .common import list_array, mix, prepare, text_slices
 #: Buckets, embedding width, n-gram lengths.
 BUCKETS, WIDTH, LENGTHS = 1 << 14, 16, (1, 2, 3, 4)
 #: Labelled rows that the model is fitted on (the bound of the sample), and the part of them set aside.
-SAMPLE_ROWS, CALIBRATE = 4_000, 0.25
+SAMPLE_ROWS, CALIBRATE = 2_000, 0.25
 #: At most so many of a thousand right predictions may be rejected.
 REJECT_PER_THOUSAND = 1
 UNKNOWN = "und"
@@ -181,10 +181,10 @@ def _calibrate(model: LanguageModel, texts: list, y: np.ndarray) -> None:
     model.temperature = float(grid[int(np.argmin(loss))])
     p = softmax(z / model.temperature)
     right = np.sort(p.max(axis=1)[p.argmax(axis=1) == y])
-    # Below the least even share plus a margin nothing is told apart; the calibrated bound only lowers it.
+    # Near an even share nothing is told apart; the calibrated bound only lowers that, so a text in two languages passes.
     even = 1 / len(model.labels)
     if len(right):
-        model.accept_from = float(min(right[int(len(right) * REJECT_PER_THOUSAND / 1000)] * 0.9, even + 0.25 * (1 - even)))
+        model.accept_from = float(min(right[int(len(right) * REJECT_PER_THOUSAND / 1000)] * 0.9, even + 0.1 * (1 - even)))
 
 
 def train_language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang",
