@@ -19,7 +19,9 @@ nothing is known about its template and the markup alone decides.
 from __future__ import annotations
 
 import html as entities
+import json
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -175,29 +177,34 @@ class Page:
                 return
 
 
-def match(a: Node, b: Node, path: str, votes: dict[str, list[int]]) -> None:
+def skeleton(node: Node) -> list:
+    """``[label, checksums of the texts, children]``: what an alignment needs of a tree."""
+    return [node.label, [zlib.crc32(t.encode("utf-8", "replace")) for t in node.texts], [skeleton(c) for c in node.children]]
+
+
+def match(a: list, b: list, path: str, votes: dict[str, list[int]]) -> None:
     """Simple tree matching below two matched nodes: each matched text votes equal or different."""
-    for x, y in zip(a.texts, b.texts, strict=False):
+    for x, y in zip(a[1], b[1], strict=False):
         votes.setdefault(path, [0, 0])[x != y] += 1
-    for x, y in _aligned(a.children, b.children):
-        match(x, y, f"{path}/{x.label}" if path else x.label, votes)
+    for x, y in _aligned(a[2], b[2]):
+        match(x, y, f"{path}/{x[0]}" if path else x[0], votes)
 
 
-def _weight(node: Node) -> int:
-    return 1 + sum(map(_weight, node.children))
+def _weight(node: list) -> int:
+    return 1 + sum(map(_weight, node[2]))
 
 
-def _aligned(xs: list[Node], ys: list[Node]) -> list[tuple[Node, Node]]:
+def _aligned(xs: list[list], ys: list[list]) -> list[tuple[list, list]]:
     """The order-keeping pairs of children with equal labels of greatest weight.
 
     Equal labels at both ends are paired at once; only what lies between them
     needs the table.
     """
     lo = 0
-    while lo < min(len(xs), len(ys)) and xs[lo].label == ys[lo].label:
+    while lo < min(len(xs), len(ys)) and xs[lo][0] == ys[lo][0]:
         lo += 1
     i, j = len(xs), len(ys)
-    while i > lo and j > lo and xs[i - 1].label == ys[j - 1].label:
+    while i > lo and j > lo and xs[i - 1][0] == ys[j - 1][0]:
         i, j = i - 1, j - 1
     pairs = list(zip(xs[:lo], ys[:lo], strict=True))
     a, b = xs[lo:i], ys[lo:j]
@@ -206,7 +213,7 @@ def _aligned(xs: list[Node], ys: list[Node]) -> list[tuple[Node, Node]]:
         best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for p in range(len(a) - 1, -1, -1):
             for q in range(len(b) - 1, -1, -1):
-                both = best[p + 1][q + 1] + min(wa[p], wb[q]) if a[p].label == b[q].label else 0
+                both = best[p + 1][q + 1] + min(wa[p], wb[q]) if a[p][0] == b[q][0] else 0
                 best[p][q] = max(best[p + 1][q], best[p][q + 1], both)
         p = q = 0
         while p < len(a) and q < len(b):
@@ -225,25 +232,41 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-_PARSED = "uid bigint, host string, slots array<string>, texts array<string>, voted array<string>, same array<bigint>, differ array<bigint>"
+_PAGE = pa.struct([("slots", pa.list_(pa.string())), ("texts", pa.list_(pa.string())), ("tree", pa.string())])
 
 
-def _parsed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each page's candidate blocks, and its votes against the page of its host before it."""
-    last_host, last = None, None
-    for batch in batches:
+def parsed(html: Column) -> Column:
+    """``struct(slots, texts, tree)``: the blocks that may be main text, and the page's skeleton as JSON."""
+
+    @F.arrow_udf("struct<slots:array<string>,texts:array<string>,tree:string>")
+    def each(pages: pa.Array) -> pa.Array:
         out = []
-        for host, html in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for html in pages.to_pylist():
             page = Page(html or "")
-            votes: dict[str, list[int]] = {}
-            if last is not None and host == last_host and host:
-                match(page.root, last, "", votes)
-            last_host, last = host, page.root
             main = page.main()
-            out.append(([s for s, _ in main], [t for _, t in main], list(votes), [v[0] for v in votes.values()], [v[1] for v in votes.values()]))
-        kinds = (pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["uid", "host", "slots", "texts", "voted", "same", "differ"])
+            out.append({"slots": [s for s, _ in main], "texts": [t for _, t in main], "tree": json.dumps(skeleton(page.root), separators=(",", ":"))})
+        return pa.array(out, _PAGE)
+
+    return each(html)
+
+
+_VOTES = "host string, slot string, same bigint, differ bigint"
+
+
+def _vote_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Votes of each page against the page of its host before it, summed over a batch. Rows come ordered by host."""
+    last_host, last = None, None
+    for batch in batches:
+        votes: dict[str, dict[str, list[int]]] = {}
+        for host, tree in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            page = json.loads(tree)
+            if host == last_host:
+                match(page, last, "", votes.setdefault(host, {}))
+            last_host, last = host, page
+        rows = [(host, slot, *v) for host, slots in votes.items() for slot, v in slots.items()]
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 4, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays(columns, names=["host", "slot", "same", "differ"])
 
 
 def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_col: str = "page_id") -> DataFrame:
@@ -255,26 +278,21 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
     table gives an empty result.
     """
     prepare(pages.sparkSession)
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    rows = rows.withColumns({"uid": row_uid(F.col("page_id"), F.col("url"), F.col("html")), "host": host_of(F.col("url"))})
+    rows = pages.select(
+        F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), row_uid(F.col(id_col), F.col(url_col), F.col(html_col)).alias("uid"),
+        host_of(F.col(url_col)).alias("host"), parsed(F.col(html_col)).alias("p"),
+    )
+    # Pages are parsed where they are; from here on markup is gone and only skeletons are shuffled.
+    seen = stored(rows.select("page_id", "url", "uid", "host", "p.*"), "pages")
     # A host with more than one page in HOT_SHARE is one of at most HOT_SHARE hosts; it is dealt to several groups.
-    sizes = stored(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")), "hosts")
+    sizes = stored(seen.groupBy("host").agg(F.count(F.lit(1)).alias("n")), "hosts")
     total = sizes.agg(F.sum("n")).first()[0] or 0
     hot = sizes.where(F.col("n") * HOT_SHARE > F.lit(total)).select("host", F.ceil(F.col("n") * HOT_SHARE / F.lit(max(1, total))).cast("int").alias("groups"))
-    dealt = rows.join(F.broadcast(hot), "host", "left")
+    dealt = seen.where("host <> ''").select("uid", "host", "tree").join(F.broadcast(hot), "host", "left")
     dealt = dealt.withColumn("group", F.when(F.col("groups") > 1, F.pmod("uid", "groups")).otherwise(F.lit(0)).cast("int"))
-    together = dealt.select("uid", "host", "html", "group", "page_id", "url").repartition("host", "group").sortWithinPartitions("host", "group", "uid")
-    kinds = _PARSED.replace("uid bigint, host string", "uid bigint, host string, page_id " + dict(rows.dtypes)["page_id"] + ", url string")
-
-    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, found in _with(batches):
-            names = ["uid", "host", "page_id", "url", *found.schema.names[2:]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), batch.column(5), *found.columns[2:]], names=names)
-
-    seen = stored(together.mapInArrow(parsed, kinds), "pages")
-    votes = seen.select("host", F.explode(F.arrays_zip("voted", "same", "differ")).alias("v")).select("host", "v.*")
-    votes = votes.groupBy("host", "voted").agg(F.sum("same").alias("same"), F.sum("differ").alias("differ"))
-    constant = F.when((F.col("differ") == 0) & (F.col("same") >= MIN_VOTES), F.col("voted"))
+    together = dealt.repartition("host", "group").sortWithinPartitions("host", "group", "uid").select("host", "tree")
+    votes = together.mapInArrow(_vote_rows, _VOTES).groupBy("host", "slot").agg(F.sum("same").alias("same"), F.sum("differ").alias("differ"))
+    constant = F.when((F.col("differ") == 0) & (F.col("same") >= MIN_VOTES), F.col("slot"))
     wrappers = votes.groupBy("host").agg(F.collect_set(constant).alias("template"), F.sum("differ").alias("varying"))
     wrappers = stored(wrappers.where((F.col("varying") > 0) & (F.size("template") > 0)).select("host", "template"), "wrappers")
     met = seen.join(wrappers, "host", "left")
@@ -282,16 +300,3 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
     blocks = F.filter(F.arrays_zip("slots", "texts"), lambda b: ~F.array_contains(known, b["slots"]))
     text = F.concat_ws("\n", F.transform(blocks, lambda b: b["texts"]))
     return met.select("page_id", "url", text.alias("text"))
-
-
-def _with(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.RecordBatch]]:
-    """Each batch and what ``_parsed_rows`` makes of it."""
-    held: list[pa.RecordBatch] = []
-
-    def noted():
-        for b in batches:
-            held.append(b)
-            yield b
-
-    for found in _parsed_rows(noted()):
-        yield held.pop(0), found
