@@ -239,7 +239,7 @@ def _compare(spark, sf):
 def _boost_search(spark, sf):
     """Rounds by learning rate, as the studied grids of nine candidates."""
     rows = with_folds(vectors(spark, sf), "label", "key", 3, SEED).persist()
-    grid = {"numTrees": [5, 10, 20], "stepSize": [0.1, 0.5, 1.0]}
+    grid = {"numTrees": [2, 4, 8], "stepSize": [0.1, 0.5, 1.0]}
     return TU.grid_search(rows, ES.AdaBoost(seed=SEED), grid, "fold").results
 
 
@@ -253,7 +253,7 @@ def _five(spark, sf):
     """Five kinds of model on the same folds."""
     rows = with_folds(prep.with_balanced_weight(vectors(spark, sf), "label"), "label", "key", 3, SEED).persist()
     models = {
-        "forest": M.rf_classifier(**SMALL, weight="weight"), "boost": ES.AdaBoost(10, seed=SEED), "near": ES.KNearest(),
+        "forest": M.rf_classifier(**SMALL, weight="weight"), "boost": ES.AdaBoost(5, seed=SEED), "near": ES.KNearest(),
         "logistic": M.logistic(rows.count(), weight="weight"), "svm": M.linear_svm(rows.count(), weight="weight"),
     }
     return TU.compare_models(rows, models, "fold")
@@ -400,7 +400,7 @@ QUERIES = {
     "oob_forest_regressor": (_oob_regression, None),
     "balanced_forest": (_balanced, None),
     "decision_tree": (_fitted(lambda t: M.decision_tree(max_depth=6, weight="weight").fit(t)), None),
-    "ada_boost": (_fitted(lambda t: ES.AdaBoost(50, 1.0, SEED).fit(t)), None),
+    "ada_boost": (_fitted(lambda t: ES.AdaBoost(20, 1.0, SEED).fit(t)), None),
     "ada_boost_search": (_boost_search, None),
     "knn_search": (_knn_search, KNN_SEARCH_SQL),
     "five_model_comparison": (_five, None),
