@@ -11,7 +11,21 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_extract, language_id, mixing, near_dedup, pii, sharding, substring_dedup, token_count
+from . import (
+    collocations,
+    decontaminate,
+    exact_dedup,
+    html_extract,
+    language_id,
+    line_dedup,
+    mixing,
+    near_dedup,
+    pii,
+    sharding,
+    substring_dedup,
+    token_count,
+    whitening,
+)
 from .common import prepare
 
 WEIGHTS = (1, 2, 3)
@@ -108,6 +122,24 @@ def op10_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"), F.col("p.accepted").alias("accepted"))
 
 
+def op11_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf, "documents"), max_words=3, min_count=10, contained_percent=50, top=2_000)
+
+
+def op12_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = line_dedup.dedup_lines(_table(spark, sf, "documents"), min_chars=20, min_docs=3)
+    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", _sha(F.col("kept_text")).alias("kept_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    found = whitening.whiten_embeddings(_table(spark, sf, "embeddings"))
+    each = found.select(F.col("id").alias("vec_id"), "n", "deviation", "explained", "identity_error", F.posexplode("whitened").alias("place", "whitened"))
+    return each.select(
+        "vec_id", (F.col("place") + 1).alias("component"), "n", F.expr("try_cast(deviation AS bigint)").alias("deviation"), "whitened",
+        F.get("explained", "place").alias("explained"), "identity_error",
+    )
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
@@ -117,7 +149,7 @@ def pipeline(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (op1_pii, op2_mixing, op3_html, op4_tokens, op5_exact_dedup, op6_near_dedup, op7_decontamination, op8_substring_dedup,
-              op9_sharding, op10_language_id, pipeline)
+              op9_sharding, op10_language_id, op11_collocations, op12_line_dedup, op13_whitening, pipeline)
 }
 
 

@@ -123,4 +123,38 @@ SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, s
        row_number() OVER (PARTITION BY shard ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, key) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
 FROM keys JOIN places USING (key) JOIN crc USING (doc_id)"""
 
-SQL = {"op2_mixing": OP2, "op5_exact_dedup": OP5, "op6_near_dedup": OP6, "op7_decontamination": OP7, "op8_substring_dedup": OP8, "op9_sharding": OP9}
+OP11 = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex({_LOWER.format("text")}, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+  FROM documents),
+grams AS (
+  SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM pieces, (VALUES (1), (2), (3)) s(size) WHERE len(w) >= size) GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE size = 1 GROUP BY 1),
+candidates AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE size > 1 AND f >= 10),
+cuts AS (SELECT *, unnest(range(1, size)) AS k FROM candidates),
+scores AS (
+  SELECT c.lang, c.phrase, c.size, c.w, a, k, p.f AS l, q.f AS r, 1000000::HUGEINT * a * a // (p.f::HUGEINT * q.f) AS score
+  FROM cuts c JOIN grams p ON c.lang = p.lang AND p.size = k AND p.phrase = array_to_string(c.w[1:k], ' ')
+  JOIN grams q ON c.lang = q.lang AND q.size = c.size - k AND q.phrase = array_to_string(c.w[k + 1:c.size], ' ')),
+best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, phrase, max(a) AS a
+  FROM (SELECT lang, a, array_to_string(w[1:2], ' ') AS phrase FROM candidates WHERE size = 3
+        UNION ALL SELECT lang, a, array_to_string(w[2:3], ' ') FROM candidates WHERE size = 3) GROUP BY 1, 2),
+free AS (SELECT b.* FROM best b LEFT JOIN longer o ON b.lang = o.lang AND b.phrase = o.phrase WHERE o.a IS NULL OR 100 * o.a < 50 * b.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM free)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
+OP12 = rf"""
+WITH lines AS (
+  SELECT doc_id, pos, line, {_LOWER.format("trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key
+  FROM (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))),
+shared AS (SELECT key, max(doc_id) AS keeper FROM lines WHERE length(key) >= 20 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT doc_id, pos, line, keeper IS NOT NULL AND doc_id <> keeper AS gone FROM lines LEFT JOIN shared USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY 1"""
+
+SQL = {"op2_mixing": OP2, "op5_exact_dedup": OP5, "op6_near_dedup": OP6, "op7_decontamination": OP7, "op8_substring_dedup": OP8, "op9_sharding": OP9,
+       "op11_collocations": OP11, "op12_line_dedup": OP12}
