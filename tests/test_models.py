@@ -96,14 +96,22 @@ def test_own_estimators_in_searches(spark, rows_, tmp_path, rows):
         assert rows(back.transform(rows_), "key", "prediction") == rows(found.best.transform(rows_), "key", "prediction")
 
 
-def test_stumps_vote_like_their_trees(rows_):
-    from pyspark.ml.classification import DecisionTreeClassifier
-
-    tree = DecisionTreeClassifier(maxDepth=1, seed=1).fit(rows_)
-    stump = ES.stump_of(tree)
-    stump.weight = 1.0
-    said = ES.AdaBoostVote([stump], 9).transform(tree.setPredictionCol("tree").transform(rows_))
-    assert said.where("tree <> prediction").count() == 0
+def test_boosting_rounds_like_plain_ones(wide, rows_):
+    """Weights, errors and votes of each round against numpy."""
+    import numpy as np
+
+    table = rows_.orderBy("key").collect()
+    x, y = np.array([r["features"].toArray() for r in table]), np.array([r["label"] for r in table])
+    model = ES.AdaBoost(6, 0.7).fit(rows_)
+    w = np.ones(len(y))
+    for stump in model.stumps:
+        low = x[:, stump.feature] <= stump.threshold
+        said = np.where(low, stump.low, stump.high)
+        error = w[said != y].sum() / w.sum()
+        assert stump.weight == pytest.approx(0.7 * np.log((1 - error) / error)) and error < 0.5
+        assert [stump.low, stump.high] == [float(w[k & (y == 1)].sum() > w[k].sum() / 2) for k in (low, ~low)]
+        w = w * np.exp(stump.weight * (said != y))
+    assert len(model.stumps) == 6
 
 
 def test_search(rows_):

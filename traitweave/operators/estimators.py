@@ -7,49 +7,31 @@ as plain tables.
 
 from __future__ import annotations
 
-from dataclasses import astuple, dataclass
+from collections.abc import Sequence
+from dataclasses import astuple
+from functools import reduce
 
 import numpy as np
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.joins import lookup_join
 from ..session import checkpointed, scratch
-from .neighbours import knn
-
-
-@dataclass
-class Stump:
-    """A split of one feature: rows up to the threshold (or, by category, in ``left``) say ``low``, others ``high``."""
-
-    feature: int
-    threshold: float
-    left: list[float] | None
-    low: float
-    high: float
-    weight: float = 0.0
+from .evaluation import confusion, prf
+from .histogram_trees import Answers, Growth, Job, binned_vectors, grow
+from .neighbours import knn, nearest
+from .saving import SavedAsTables
+from .stumps import Boosted, Stump
+from .tuning import grid_candidates, params_text
 
 
 _STUMPS = "feature int, threshold double, left array<double>, low double, high double, weight double"
 
 
-def stump_of(tree) -> Stump:
-    """Read a fitted tree of depth 1 (or 0)."""
-    root = tree._java_obj.rootNode()
-    if tree.depth == 0:
-        return Stump(0, 0.0, None, root.prediction(), root.prediction())
-    split = root.split()
-    if "Continuous" in split.getClass().getSimpleName():
-        threshold, left = split.threshold(), None
-    else:
-        threshold, left = 0.0, list(split.leftCategories())
-    return Stump(split.featureIndex(), threshold, left, root.leftChild().prediction(), root.rightChild().prediction())
-
-
 class _Boosting(Params):
     numTrees = Param(Params._dummy(), "numTrees", "rounds of boosting", TypeConverters.toInt)
     stepSize = Param(Params._dummy(), "stepSize", "learning rate", TypeConverters.toFloat)
@@ -59,8 +41,9 @@ class _Boosting(Params):
 class AdaBoost(Estimator, _Boosting):
     """Two-class discrete boosting of depth-1 trees on ``features`` and ``label``.
 
-    The row weights are a column; each round needs one aggregate for the error.
-    Every few rounds the weighted rows are written and their lineage ends.
+    The features are binned once. A round is one job: tasks work out the weights of
+    their rows from the stumps so far, and the sums of the two sides of the new
+    stump already say its error.
     """
 
     def __init__(self, n_estimators: int = 50, learning_rate: float = 1.0, seed: int = 42):
@@ -69,39 +52,18 @@ class AdaBoost(Estimator, _Boosting):
 
     def _fit(self, dataset: DataFrame) -> AdaBoostVote:
         rate, seed = self.getOrDefault(self.stepSize), self.getOrDefault(self.seed)
-        current = checkpointed(dataset.select("features", "label", F.lit(1.0).alias("boost")))
-        width = len(dataset.select("features").first()[0])
-        stumps: list[Stump] = []
+        # Numbers of rows are only the same in every job once they are written.
+        rows = checkpointed(dataset.select(F.monotonically_increasing_id().alias("key"), "features", "label"))
+        data = binned_vectors(rows, "key", True)
+        n, answers, boosted = data.rows.count(), Answers(loss="weights"), Boosted(rate)
         for t in range(self.getOrDefault(self.numTrees)):
-            tree = DecisionTreeClassifier(maxDepth=1, weightCol="boost", seed=seed).fit(current)
-            stump = stump_of(tree)
-            miss = (_said(stump) != F.col("label")).cast("double")
-            row = current.agg(F.sum(F.col("boost") * miss).alias("bad"), F.sum("boost").alias("all")).first()
-            error = row["bad"] / row["all"]
-            if error >= 0.5:
-                stumps = stumps or [stump]
-                break
-            stumps.append(stump)
-            if error <= 0:
-                stump.weight = 1.0
+            if boosted.done:
                 break
-            stump.weight = rate * float(np.log((1 - error) / error))
-            # The weights keep their sum, so they stay in range over any number of rounds.
-            whole = row["all"] * (1 - error + error * float(np.exp(stump.weight)))
-            scaled = F.col("boost") * F.exp(F.lit(stump.weight) * miss) * F.lit(row["all"] / whole)
-            current = current.withColumn("boost", scaled)
-            if (t + 1) % 5 == 0:
-                current = checkpointed(current)
-        return AdaBoostVote(stumps, width)
+            boosted.take(grow(data, [Job(0, t, chain=boosted.chain)], Growth(max_depth=1), answers, seed, n), data.cuts)
+        return AdaBoostVote(boosted.stumps, len(data.names))
 
 
-def _said(stump: Stump):
-    value = vector_to_array("features")[stump.feature]
-    low = value.isin(stump.left) if stump.left is not None else value <= F.lit(stump.threshold)
-    return F.when(low, F.lit(stump.low)).otherwise(F.lit(stump.high))
-
-
-class AdaBoostVote(Model):
+class AdaBoostVote(Model, SavedAsTables):
     """The weighted vote of stumps; any number of them is one expression over an array."""
 
     def __init__(self, stumps: list[Stump], width: int):
@@ -136,14 +98,13 @@ class AdaBoostVote(Model):
             out[s.feature] += abs(s.weight)
         return DenseVector(out / out.sum() if out.sum() else out)
 
-    def save(self, path: str) -> None:
-        spark = SparkSession.getActiveSession()
+    def _save_tables(self, spark: SparkSession, path: str) -> None:
         rows = [(i, self.width, *astuple(s)) for i, s in enumerate(self.stumps)]
         spark.createDataFrame(rows, "i int, width int, " + _STUMPS).write.mode("overwrite").parquet(path)
 
     @classmethod
-    def load(cls, path: str) -> AdaBoostVote:
-        rows = SparkSession.getActiveSession().read.parquet(path).orderBy("i").collect()
+    def _load_tables(cls, spark: SparkSession, path: str) -> AdaBoostVote:
+        rows = spark.read.parquet(path).orderBy("i").collect()
         return cls([Stump(*[r[c] for c in ("feature", "threshold", "left", "low", "high", "weight")]) for r in rows], rows[0]["width"])
 
 
@@ -168,7 +129,7 @@ class KNearest(Estimator, _Voting):
         return self._copyValues(KNearestVote(path))
 
 
-class KNearestVote(Model, _Voting):
+class KNearestVote(Model, _Voting, SavedAsTables):
     """Votes of the nearest rows of a written table; ``prediction`` and the winner's share of the votes as ``score`` of class 1."""
 
     def __init__(self, path: str):
@@ -184,14 +145,39 @@ class KNearestVote(Model, _Voting):
         voted = found.select(F.col("key").alias(key), F.col("prediction").cast("double").alias("prediction"), share.alias("score"))
         return dataset.join(voted, key)
 
-    def save(self, path: str) -> None:
-        """The training table, and the parameters as one row beside it."""
-        spark = SparkSession.getActiveSession()
-        spark.read.parquet(self.path).write.mode("overwrite").parquet(f"{path}/rows")
-        row = [tuple(self.getOrDefault(x) for x in (self.k, self.p, self.weights, self.keyCol))]
-        spark.createDataFrame(row, "k int, p double, weights string, keyCol string").write.mode("overwrite").parquet(f"{path}/params")
+    def _save_tables(self, spark: SparkSession, path: str) -> None:
+        """A copy of the training table; the fitted model's own table goes when this process ends."""
+        spark.read.parquet(self.path).write.mode("overwrite").parquet(path)
 
     @classmethod
-    def load(cls, path: str) -> KNearestVote:
-        row = SparkSession.getActiveSession().read.parquet(f"{path}/params").first()
-        return cls(f"{path}/rows")._set(**row.asDict())
+    def _load_tables(cls, spark: SparkSession, path: str) -> KNearestVote:
+        return cls(path)
+
+
+def knn_grid(folds: DataFrame, ks: Sequence[int], weights: Sequence[str], p: float = 2.0, metric: str = "accuracy", fold: str = "fold", key: str = "key") -> DataFrame:
+    """A grid over k nearest neighbours on given folds: ``(candidate, params, mean, std)``.
+
+    The neighbours of a fold are searched once, for the largest k; every candidate
+    votes with the first of them.
+    """
+    rows = checkpointed(folds.select(F.col(key).alias("id"), vector_to_array("features").alias("vec"), F.col("label").cast("double").alias("label"), F.col(fold).alias("fold")))
+    found = []
+    for i in [r[0] for r in rows.select("fold").distinct().orderBy("fold").collect()]:
+        test, train = rows.where(F.col("fold") == i), rows.where(F.col("fold") != i)
+        near = nearest(test.select("id", "vec"), train.select("id", "vec"), max(ks), p)
+        near = lookup_join(near, train.select("id", "label"), ["id"], "inner").select(F.col("query").alias("id"), "dist", "place", F.col("label").alias("said"))
+        found.append(checkpointed(lookup_join(near, test.select("id", "label"), ["id"], "inner").withColumn("fold", F.lit(i))))
+    near = reduce(lambda a, b: a.unionByName(b), found)
+    candidates = grid_candidates({"k": ks, "weights": weights})
+    listed = F.array(*[F.struct(F.lit(i).alias("candidate"), F.lit(c["k"]).alias("k"), F.lit(c["weights"]).alias("weights")) for i, c in enumerate(candidates)])
+    closest = F.min("dist").over(Window.partitionBy("fold", "id"))
+    near = near.withColumn("exact", closest == 0).withColumn("c", F.explode(listed)).where(F.col("place") <= F.col("c.k"))
+    by_distance = F.when(F.col("exact"), (F.col("dist") == 0).cast("double")).otherwise(F.try_divide(F.lit(1.0), F.col("dist")))
+    weight = F.when(F.col("c.weights") == "uniform", F.lit(1.0)).otherwise(by_distance)
+    votes = near.groupBy(F.col("c.candidate").alias("candidate"), "fold", "id", "label", "said").agg(F.sum(weight).alias("w"))
+    said = votes.groupBy("candidate", "fold", "id", "label").agg(F.min_by("said", F.struct(-F.col("w"), F.col("said"))).alias("y_hat"))
+    scores = prf(confusion(said.withColumnRenamed("label", "y_true"), ["candidate", "fold"]))
+    scores = scores.withColumn("accuracy", (F.col("tp") + F.col("tn")) / (F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")))
+    graded = scores.groupBy("candidate").agg(F.avg(metric).alias("mean"), F.stddev_pop(metric).alias("std"))
+    names = folds.sparkSession.createDataFrame([(i, params_text(c)) for i, c in enumerate(candidates)], "candidate int, params string")
+    return names.join(graded, "candidate")

@@ -66,6 +66,29 @@ def _normalised(cells: DataFrame) -> DataFrame:
     return cells.join(sums, "j").select("i", "j", (F.col("p") / F.col("s")).alias("p"))
 
 
+def flow_matrix(edges: DataFrame) -> DataFrame:
+    """The column-stochastic matrix ``(i, j, p)`` of an undirected network; every node gets a loop as heavy as its heaviest edge."""
+    both = edges.unionByName(
+        edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
+    )
+    weights = both.where("src <> dst").groupBy(F.col("src").alias("i"), F.col("dst").alias("j")).agg(
+        F.max("w").cast("double").alias("p")
+    )
+    loops = weights.groupBy("j").agg(F.max("p").alias("p")).select(F.col("j").alias("i"), "j", "p")
+    alone = edges.where("src = dst").select(F.col("src").alias("i"), F.col("src").alias("j"), F.lit(1.0).alias("p"))
+    alone = alone.distinct().join(loops.select("i"), "i", "left_anti").select("i", "j", "p")
+    return _normalised(weights.unionByName(loops).unionByName(alone))
+
+
+def flow_round(cells: DataFrame, inflation: float = 2.0, eps: float = 1e-5) -> DataFrame:
+    """One round: the matrix times itself, every cell to the power of ``inflation``, columns pruned and made stochastic."""
+    left = cells.select("i", F.col("j").alias("k"), F.col("p").alias("a"))
+    right = cells.select(F.col("i").alias("k"), "j", F.col("p").alias("b"))
+    squared = left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("p"))
+    inflated = _normalised(squared.withColumn("p", F.pow("p", F.lit(float(inflation)))))
+    return checkpointed(_normalised(_pruned(checkpointed(inflated), eps)))
+
+
 def mcl(
     edges: DataFrame, inflation: float = 2.0, eps: float = 1e-5, max_iter: int = 100, tol: float = 1e-6
 ) -> DataFrame:
@@ -77,27 +100,11 @@ def mcl(
     in the result. Raises if the columns have not settled after ``max_iter``
     rounds.
     """
-    both = edges.unionByName(
-        edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
-    )
-    weights = both.where("src <> dst").groupBy(F.col("src").alias("i"), F.col("dst").alias("j")).agg(
-        F.max("w").cast("double").alias("p")
-    )
-    # Every node gets a loop as heavy as its heaviest edge.
-    loops = weights.groupBy("j").agg(F.max("p").alias("p")).select(F.col("j").alias("i"), "j", "p")
-    alone = edges.where("src = dst").select(F.col("src").alias("i"), F.col("src").alias("j"), F.lit(1.0).alias("p"))
-    alone = alone.distinct().join(loops.select("i"), "i", "left_anti").select("i", "j", "p")
-    cells = checkpointed(_normalised(weights.unionByName(loops).unionByName(alone)))
+    cells = checkpointed(flow_matrix(edges))
     for _ in range(max_iter):
-        left = cells.select("i", F.col("j").alias("k"), F.col("p").alias("a"))
-        right = cells.select(F.col("i").alias("k"), "j", F.col("p").alias("b"))
-        squared = left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("p"))
-        inflated = _normalised(squared.withColumn("p", F.pow("p", F.lit(float(inflation)))))
-        kept = _pruned(checkpointed(inflated), eps)
-        stepped = checkpointed(_normalised(kept))
-        cells = stepped
+        cells = flow_round(cells, inflation, eps)
         # A column has settled when all its cells are equal.
-        spread = stepped.groupBy("j").agg((F.max("p") - F.sum(F.col("p") * F.col("p"))).alias("d"))
+        spread = cells.groupBy("j").agg((F.max("p") - F.sum(F.col("p") * F.col("p"))).alias("d"))
         if (spread.agg(F.max("d")).first()[0] or 0.0) < tol:
             break
     else:

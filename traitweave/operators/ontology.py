@@ -47,19 +47,24 @@ def _walk(steps: DataFrame, found: DataFrame) -> DataFrame:
 def ancestors(edges: DataFrame) -> DataFrame:
     """All ``(term, relative)`` with ``relative`` above ``term``.
 
-    Each round joins the pairs found so far with themselves, so paths double
-    and a graph of depth d is done after log2(d) rounds and one that finds
-    nothing new.
+    Paths double: after round k all pairs up to 2^k steps apart are known with
+    their distance. A pair further apart has a term exactly 2^k steps above it on a
+    shortest path, so only the pairs at exactly that distance are joined with the
+    known ones, and a graph of depth d is done after log2(d) rounds. Distances
+    also end the rounds on cycles.
     """
-    found = _steps(edges, ["ancestor"]).select("term", "relative")
-    n = found.count()
+    once = edges.select(F.col("child").alias("term"), F.col("parent").alias("relative")).where("term <> relative").distinct()
+    found, reach = checkpointed(once.withColumn("d", F.lit(1))), 1
     while True:
-        onwards = broadcast_small(found, n).select(F.col("term").alias("relative"), F.col("relative").alias("next"))
-        longer = found.join(onwards, "relative").select("term", F.col("next").alias("relative")).where("term <> relative")
-        found = checkpointed(found.unionByName(longer).distinct())
-        before, n = n, found.count()
-        if n == before:
-            return found
+        last = found.where(F.col("d") == reach)
+        n = last.count()
+        if not n:
+            return found.select("term", "relative")
+        first = broadcast_small(last, n).select("term", F.col("relative").alias("by"))
+        onwards = found.select(F.col("term").alias("by"), "relative", (F.col("d") + reach).alias("d"))
+        longer = first.join(onwards, "by").select("term", "relative", "d").where("term <> relative")
+        nearest = found.unionByName(longer).groupBy("term", "relative").agg(F.min("d").alias("d"))
+        found, reach = checkpointed(nearest), 2 * reach
 
 
 def closure(edges: DataFrame, direction: str = "both") -> DataFrame:

@@ -6,7 +6,6 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime
-from functools import reduce
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import VectorSlicer
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from ..plans.hashing import number_by_hash
 from ..session import checkpointed, scratch
 from .evaluation import confusion, prediction_table, prf, r_squared
+from .ledger import Study
 from .models import oob_evaluate, rf_classifier, rf_regressor
 from .prep import preprocessor, to_vectors, with_balanced_weight
 from .sampling import holdout_n_per_class, shuffle_features, undersample, with_folds
@@ -34,10 +34,6 @@ def block_sizes(n: int) -> list[int]:
 MLLIB_NAMES = {"featureSubsetStrategy": "max_features", "maxDepth": "max_depth", "impurity": "criterion", "minInfoGain": "minInfoGain"}
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
 def importance_table(spark, model: Model, names: Sequence[str], **tags) -> DataFrame:
     """``(feature, importance)`` from impurity importances or signed coefficients.
 
@@ -114,52 +110,69 @@ def run_once(
 
 def repeated_runs(
     df: DataFrame, key: str, cont: Sequence[str], cat: Sequence[str], estimators: dict[str, Estimator], runs: int, seed=42,
+    path: str | None = None, importances: str | None = None,
 ) -> DataFrame:
-    """One score row per run and model; a run gives all models the same rows."""
-    parts = []
-    for run in range(runs):
-        for name, est in estimators.items():
-            _, _, pred = run_once(df, key, cont, cat, est, f"{seed}:{run}")
-            parts.append(prf(confusion(pred)).select(F.lit(run).alias("run"), F.lit(name).alias("model"), "*"))
-    return _union(parts)
+    """One score row per run and model; a run gives all models the same rows.
+
+    A study under ``path``: a stopped one goes on where it was. With
+    ``importances`` (a folder) the importances of each run's models go there,
+    tagged with run and model.
+    """
+    names = [*cont, *cat]
+
+    def work(item: dict) -> DataFrame:
+        model, _, pred = run_once(df, key, cont, cat, estimators[item["model"]], f"{seed}:{item['run']}")
+        if importances:
+            table = importance_table(df.sparkSession, model, names)
+            table.write.mode("overwrite").parquet(f"{importances}/run={item['run']}/model={item['model']}")
+        return prf(confusion(pred))
+
+    items = [{"run": run, "model": name} for run in range(runs) for name in estimators]
+    return Study(df.sparkSession, items, path).run(work).results()
 
 
 def feature_block_curve(
     df: DataFrame, key: str, ranking: Sequence[str], cont: Sequence[str], ks: Sequence[int] | None, runs: int,
-    make_estimator: Callable[[int], Estimator], seed=42,
+    make_estimator: Callable[[int], Estimator], seed=42, path: str | None = None,
 ) -> DataFrame:
     """Scores with the top k features for growing k (``block_sizes`` unless given),
-    real and with shuffled features."""
-    continuous, parts = set(cont), []
-    for k in ks if ks is not None else block_sizes(len(ranking)):
+    real and with shuffled features: a study under ``path``."""
+    continuous = set(cont)
+
+    def work(item: dict) -> DataFrame:
+        k, run = item["num_features"], item["run"]
         top = list(ranking[:k])
         some_cont = [c for c in top if c in continuous]
         some_cat = [c for c in top if c not in continuous]
-        rows = df.select(key, "label", *top)
-        for run in range(runs):
-            for mixed in (False, True):
-                _, _, pred = run_once(rows, key, some_cont, some_cat, make_estimator(run), f"{seed}:{k}:{run}", mixed)
-                tags = [F.lit(k).alias("num_features"), F.lit(run).alias("run"), F.lit("y" if mixed else "n").alias("random")]
-                parts.append(prf(confusion(pred)).select(*tags, "*"))
-    return _union(parts)
-
-
-def learning_curve(df: DataFrame, est: Estimator, fractions: Sequence[float], k: int, seed=42, key: str = "key") -> DataFrame:
-    """Accuracy on growing parts of the training folds: mean and spread over folds."""
-    folds = with_folds(df, "label", key, k, f"{seed}:fold").persist()
+        _, _, pred = run_once(
+            df.select(key, "label", *top), key, some_cont, some_cat, make_estimator(run), f"{seed}:{k}:{run}", item["random"] == "y")
+        return prf(confusion(pred))
+
+    sizes = ks if ks is not None else block_sizes(len(ranking))
+    items = [{"num_features": k, "run": run, "random": mixed} for k in sizes for run in range(runs) for mixed in "ny"]
+    return Study(df.sparkSession, items, path).run(work).results()
+
+
+def learning_curve(
+    df: DataFrame, est: Estimator, fractions: Sequence[float], k: int, seed=42, key: str = "key", path: str | None = None
+) -> DataFrame:
+    """Accuracy on growing parts of the training folds: mean and spread over folds. A study under ``path``."""
+    folds = checkpointed(with_folds(df, "label", key, k, f"{seed}:fold"))
     right = (F.col("prediction") == F.col("label")).cast("double")
-    parts = []
-    for i in range(k):
-        order = number_by_hash(folds.where(F.col("fold") != i), [], [key], f"{seed}:part", "_rank", "_n").persist()
-        for fraction in fractions:
-            train = order.where(F.col("_rank") <= F.floor(F.col("_n") * F.lit(fraction) + F.lit(1e-9)))
-            model = est.fit(train)
-            for name, rows in (("train", train), ("test", folds.where(F.col("fold") == i))):
-                score = model.transform(rows).agg(F.avg(right).alias("score"), F.count(F.lit(1)).alias("n"))
-                parts.append(score.select(F.lit(fraction).alias("fraction"), F.lit(name).alias("part"), "score"))
-    return _union(parts).groupBy("fraction", "part").agg(
-        F.avg("score").alias("mean"), F.stddev_pop("score").alias("std")
-    )
+
+    def work(item: dict) -> DataFrame:
+        order = number_by_hash(folds.where(F.col("fold") != item["fold"]), [], [key], f"{seed}:part", "_rank", "_n")
+        train = order.where(F.col("_rank") <= F.floor(F.col("_n") * F.lit(item["fraction"]) + F.lit(1e-9))).persist()
+        model = est.fit(train)
+        scored = model.transform(train).select(F.lit("train").alias("part"), right.alias("right"))
+        scored = scored.unionByName(model.transform(folds.where(F.col("fold") == item["fold"])).select(F.lit("test").alias("part"), right.alias("right")))
+        scores = checkpointed(scored.groupBy("part").agg(F.avg("right").alias("score")))
+        train.unpersist()
+        return scores
+
+    items = [{"fold": i, "fraction": float(f)} for i in range(k) for f in fractions]
+    found = Study(df.sparkSession, items, path).run(work).results()
+    return found.groupBy("fraction", "part").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"))
 
 
 @dataclass

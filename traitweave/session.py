@@ -76,6 +76,12 @@ def _sweep() -> None:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and cut its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and read it back: its lineage ends and it is computed once.
+
+    (``DataFrame.checkpoint`` computes a table twice.) Like all scratch tables it
+    is deleted when this process ends.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -46,10 +46,10 @@ def read_targets(spark: SparkSession, path: str, col: int = 0) -> DataFrame:
     return rows.select(F.col(f"_c{col}").alias("target"))
 
 
-def read_labelled_dir(spark: SparkSession, path: str, schema, pattern: str) -> DataFrame:
-    """All tables of a folder, labelled by a group of ``pattern`` on the file name."""
+def read_labelled_dir(spark: SparkSession, path: str, schema, pattern: str, of: str = "file_name") -> DataFrame:
+    """All tables of a folder, labelled by a group of ``pattern`` on the file name, or on the whole path with ``of="file_path"``."""
     rows = read_tsv(spark, path, schema)
-    return rows.withColumn("label", F.regexp_extract(F.col("_metadata.file_name"), pattern, 1))
+    return rows.withColumn("label", F.regexp_extract(F.col(f"_metadata.{of}"), pattern, 1))
 
 
 # label = text before ``_sm``; label = text between the first

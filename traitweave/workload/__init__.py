@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, features, models, network, ontology, orthogroups, sampling, sources
+from . import evaluation, features, forests, models, network, ontology, orthogroups, sampling, sources, studies
 
-MODULES = [network, features, sources, ontology, orthogroups, sampling, evaluation, models]
+MODULES = [network, features, sources, ontology, orthogroups, sampling, evaluation, models, forests, studies]
 
 
 def queries() -> dict:

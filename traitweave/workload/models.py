@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..operators import estimators as ES
 from ..operators import evaluation as E
+from ..operators import forests as FO
 from ..operators import models as M
-from ..operators import ontology as T
 from ..operators import prep
 from ..operators import studies as ST
 from ..operators import tuning as TU
@@ -17,7 +17,6 @@ from ..operators.neighbours import knn
 from ..operators.sampling import holdout, stratified_holdout, with_folds
 from ..session import scratch
 from ..sources import results as RES
-from .ontology import term_edges
 from .tables import CATEGORICAL, CONTINUOUS, documents_wide, hash_sql, rounded, table
 
 SEED = 42
@@ -237,24 +236,22 @@ def _compare(spark, sf):
 
 
 def _boost_search(spark, sf):
-    """Rounds by learning rate, as the studied grids of nine candidates."""
-    rows = with_folds(vectors(spark, sf), "label", "key", 3, SEED).persist()
-    grid = {"numTrees": [2, 4, 8], "stepSize": [0.1, 0.5, 1.0]}
-    return TU.grid_search(rows, ES.AdaBoost(seed=SEED), grid, "fold").results
+    """Rounds by learning rate, as the studied grids of nine candidates: three folds and three rates take each round together."""
+    rows = with_folds(vectors(spark, sf), "label", "key", 3, SEED)
+    return FO.boosting_grid(rows, [10, 20, 50], [0.1, 0.5, 1.0], seed=SEED)
 
 
 def _knn_search(spark, sf):
     rows = with_folds(vectors(spark, sf), "label", "key", 3, SEED).persist()
-    found = TU.grid_search(rows, ES.KNearest(), {"k": [3, 5, 9], "weights": ["uniform", "distance"]}, "fold", "accuracy")
-    return rounded(found.results, "mean", "std")
+    return rounded(ES.knn_grid(rows, [3, 5, 9], ["uniform", "distance"]), "mean", "std")
 
 
 def _five(spark, sf):
-    """Five kinds of model on the same folds."""
+    """The studied kinds of model, and nearest neighbours, on the same folds."""
     rows = with_folds(prep.with_balanced_weight(vectors(spark, sf), "label"), "label", "key", 3, SEED).persist()
     models = {
-        "forest": M.rf_classifier(**SMALL, weight="weight"), "boost": ES.AdaBoost(5, seed=SEED), "near": ES.KNearest(),
-        "logistic": M.logistic(rows.count(), weight="weight"), "svm": M.linear_svm(rows.count(), weight="weight"),
+        "forest": M.rf_classifier(**SMALL, weight="weight"), "boost": ES.AdaBoost(10, seed=SEED), "near": ES.KNearest(),
+        "balanced": FO.BaggedForest(20, 5, bags="balanced", seed=SEED), "logistic": M.logistic(rows.count(), weight="weight"), "svm": M.linear_svm(rows.count(), weight="weight"),
     }
     return TU.compare_models(rows, models, "fold")
 
@@ -327,9 +324,11 @@ def _importance(spark, sf):
 
 
 def _permutation(spark, sf):
-    parts = stratified_holdout(_ready(spark, sf), "label", "key", 0.2, SEED).persist()
-    model = M.rf_classifier(**SMALL, weight="weight").fit(parts.where("part = 'train'"))
-    return ST.permutation_importance(model, parts.where("part = 'test'"), CONTINUOUS + CATEGORICAL, 5, SEED)
+    """Preprocessing and forest are fitted on four fifths, the others are scored."""
+    parts = prep.with_balanced_weight(stratified_holdout(_documents(spark, sf), "label", "key", 0.2, SEED), "label").persist()
+    ready = prep.preprocessor(CONTINUOUS, CATEGORICAL).fit(parts.where("part = 'train'"))
+    model = M.rf_classifier(**SMALL, weight="weight").fit(ready.transform(parts.where("part = 'train'")))
+    return ST.permutation_importance(model, ready.transform(parts.where("part = 'test'")).select("key", "label", "features"), CONTINUOUS + CATEGORICAL, 5, SEED)
 
 
 def _blocks(spark, sf):
@@ -349,24 +348,6 @@ def _repeated(spark, sf):
     return ST.repeated_runs(wide, "key", CONTINUOUS, CATEGORICAL, {"forest": M.rf_classifier(**SMALL)}, 2, SEED)
 
 
-def _target_models(spark, sf):
-    """A region and a nation as targets, their relatives pruned."""
-    order_terms = table(spark, sf, "orders").select(
-        F.col("o_custkey").alias("key"), F.concat_ws("_", F.lit("pfa"), "o_orderpriority").alias("feature")
-    ).unionByName(
-        table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.concat(F.lit("go_n"), F.col("c_nationkey")).alias("feature"))
-    ).unionByName(
-        table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(
-            F.col("c_custkey").alias("key"), F.concat(F.lit("go_r"), F.col("n_regionkey")).alias("feature")
-        )
-    )
-    long = order_terms.groupBy("key", "feature").agg(F.count(F.lit(1)).cast("double").alias("value"))
-    targets = ["go_r0", "go_n1"]
-    wanted = spark.createDataFrame([(t,) for t in targets], "target STRING")
-    excluded = T.exclusions(wanted, term_edges(spark, sf))
-    return ST.train_targets(long, targets, excluded, {"max_depth": 4}, 3, 2, SEED).importance
-
-
 QUERIES = {
     "median_imputer": (
         lambda spark, sf: rounded(_filled(spark, sf), "value"),
@@ -400,7 +381,7 @@ QUERIES = {
     "oob_forest_regressor": (_oob_regression, None),
     "balanced_forest": (_balanced, None),
     "decision_tree": (_fitted(lambda t: M.decision_tree(max_depth=6, weight="weight").fit(t)), None),
-    "ada_boost": (_fitted(lambda t: ES.AdaBoost(20, 1.0, SEED).fit(t)), None),
+    "ada_boost": (_fitted(lambda t: ES.AdaBoost(50, 1.0, SEED).fit(t)), None),
     "ada_boost_search": (_boost_search, None),
     "knn_search": (_knn_search, KNN_SEARCH_SQL),
     "five_model_comparison": (_five, None),
@@ -423,5 +404,4 @@ QUERIES = {
     "feature_block_curve": (_blocks, None),
     "learning_curve": (_curve, None),
     "repeated_runs": (_repeated, None),
-    "target_models": (_target_models, None),
 }

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import ontology as T
-from .tables import table
+from .tables import rounded, table
 
 
 def term_edges(spark, sf):
@@ -111,6 +111,29 @@ def _cluster_sizes(spark, sf):
     return clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
+def _flow(spark, sf):
+    """The flow matrix after two rounds of Markov clustering."""
+    cells = G.flow_round(G.flow_round(G.flow_matrix(order_edges(spark, sf))))
+    return rounded(cells, "p")
+
+
+def _flow_round_sql(n: int) -> str:
+    """CTEs from the matrix ``m{n - 1}`` to ``m{n}``."""
+    return f"""s{n} AS (SELECT a.i, b.j, pow(sum(a.p * b.p), 2) AS p FROM m{n - 1} a JOIN m{n - 1} b ON a.j = b.i GROUP BY 1, 2),
+t{n} AS (SELECT i, j, p / sum(p) OVER (PARTITION BY j) AS p FROM s{n}),
+u{n} AS (SELECT * FROM t{n} QUALIFY p >= 1e-5 OR p >= max(p) OVER (PARTITION BY j) * (1 - 1e-9)),
+m{n} AS (SELECT i, j, p / sum(p) OVER (PARTITION BY j) AS p FROM u{n})"""
+
+
+FLOW_SQL = f"""WITH e AS (SELECT 'o' || o_orderkey AS src, 'c' || o_custkey AS dst, 1.0::DOUBLE AS w FROM orders
+  UNION ALL SELECT DISTINCT 'c' || o_custkey, 'b' || (o_custkey // 10), 0.5::DOUBLE FROM orders),
+w AS (SELECT i, j, max(w) AS p FROM (SELECT src AS i, dst AS j, w FROM e UNION ALL SELECT dst, src, w FROM e) WHERE i <> j GROUP BY 1, 2),
+l AS (SELECT * FROM w UNION ALL SELECT j, j, max(p) FROM w GROUP BY j),
+m0 AS (SELECT i, j, p / sum(p) OVER (PARTITION BY j) AS p FROM l),
+{_flow_round_sql(1)}, {_flow_round_sql(2)}
+SELECT i, j, round(p, 6) AS p FROM m2"""
+
+
 QUERIES = {
     "ontology_closure": (
         lambda spark, sf: T.closure(term_edges(spark, sf)),
@@ -154,4 +177,5 @@ QUERIES = {
     ),
     "connected_components": (lambda spark, sf: G.components(order_edges(spark, sf)), COMPONENTS_SQL),
     "markov_clusters": (_cluster_sizes, None),
+    "markov_flow": (_flow, FLOW_SQL),
 }

@@ -64,14 +64,11 @@ def _obo(spark, sf):
 
 
 def _labelled(spark, sf):
-    """One table per market segment; the label is in the file name."""
+    """One folder of tables per market segment; the label is in the path."""
     path = scratch(spark, "by_label")
     rows = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     rows.write.partitionBy("c_mktsegment").csv(path, sep="\t", header=True)
-    # Spark names part files itself, so the label is cut from the part number
-    # of the file name, and checked against the rows by their counts.
-    read = S.read_labelled_dir(spark, f"{path}/*/*.csv", "c_custkey BIGINT, c_nationkey INT", r"^(part)-")
-    return read.groupBy("label", "c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    return S.read_labelled_dir(spark, f"{path}/*/*.csv", "c_custkey BIGINT, c_nationkey INT", "/c_mktsegment=([^/]*)/", "file_path")
 
 
 def _run_info(spark, sf):
@@ -99,12 +96,11 @@ def _results(spark, sf):
 
 
 def _sequences(spark, sf):
-    """Compressed text per language; the species comes from the file name."""
+    """Compressed text, one folder per language; the species is in the path."""
     path = scratch(spark, "seq")
-    docs = table(spark, sf, "documents").select(F.regexp_replace(F.concat("text", F.lit("*")), r"\s+", " ").alias("value"))
-    docs.write.option("compression", "gzip").text(path)
-    cleaned = SEQ.clean_sequences(spark, f"{path}/*.gz")
-    return cleaned.groupBy(F.left("species", F.lit(4)).alias("species"), F.length("value").alias("n_chars")).agg(F.count(F.lit(1)).alias("n"))
+    docs = table(spark, sf, "documents").select(F.regexp_replace(F.concat("text", F.lit("*")), r"\s+", " ").alias("value"), F.col("lang").alias("species"))
+    docs.write.partitionBy("species").option("compression", "gzip").text(path)
+    return SEQ.clean_sequences(spark, f"{path}/*/*.gz", "/species=([^/]*)/")
 
 
 QUERIES = {
@@ -127,7 +123,7 @@ QUERIES = {
         UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer
         UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation""",
     ),
-    "labelled_dir_scan": (_labelled, "SELECT 'part' AS label, c_nationkey, count(*) AS n FROM customer GROUP BY 2"),
+    "labelled_dir_scan": (_labelled, "SELECT c_custkey, c_nationkey, c_mktsegment AS label FROM customer"),
     "run_info_scan": (
         _run_info,
         "SELECT CAST(user_id AS VARCHAR) AS run, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS n_processed FROM events GROUP BY 1",
@@ -146,7 +142,6 @@ QUERIES = {
     ),
     "sequence_clean_up": (
         _sequences,
-        r"""SELECT 'part' AS species, length(replace(regexp_replace(text || '*', '\s+', ' ', 'g'), '*', '')) AS n_chars, count(*) AS n
-        FROM documents GROUP BY 2""",
+        r"""SELECT lang AS species, replace(regexp_replace(text || '*', '\s+', ' ', 'g'), '*', '') AS "value" FROM documents""",
     ),
 }
