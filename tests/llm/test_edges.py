@@ -4,7 +4,7 @@ import pytest
 
 from traitweave.llm import queries as Q
 
-CLASH = "id,uid,size,key,n,row,shard,slot,kept,keep_id,digest,place,text_,copy,words,leaks,_uid,_src,_order,component,target,draws,p".split(",")
+CLASH = "id,uid,size,key,n,row,shard,slot,kept,keep_id,digest,place,text_,copy,words,leaks,_uid,_src,_order,component,target,draws,p,_n,_text,_all,_names,_longest,uid_,at,label,c,item,items".split(",")
 LONG = "wort " * 30_000 + "ende"
 TEXTS = [
     (1, "one two three four five six seven eight nine ten eleven twelve", "en", "a"),
@@ -58,15 +58,37 @@ def test_empty_table(spark, empty, name):
     assert Q.QUERIES[name](spark, empty).count() == 0
 
 
-def test_pipeline_on_awkward_and_empty_tables(spark, awkward, empty):
-    got = Q.pipeline(spark, awkward)
-    assert got.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
+def test_pipeline_on_awkward_and_empty_tables(spark, awkward, empty, tmp_path):
+    docs = spark.read.parquet(f"{awkward}/documents.parquet")
+    assert {"_uid", "leaks", "shard", "slot", "_n", "_text"} <= set(docs.columns)
+    Q.pipeline(spark, awkward).write.parquet(path := str(tmp_path / "out"))
+    got = spark.read.parquet(path)
+    assert got.columns == [*docs.columns, "_shard", "_slot"]
+    assert got.schema[:len(docs.columns)] == docs.schema[:]
+    assert all(r[c] == "x" for r in got.collect() for c in CLASH) and got.where("_shard between 0 and 15").count() == got.count()
     kept = {r.doc_id for r in got.collect()}
     # 1 is in the benchmark, and so is its copy; texts without letters go; of equal texts the first stays.
     assert 1 not in kept and 11 not in kept and not kept & {2, 3, 4, 5, 7}
     assert Q.pipeline(spark, empty).count() == 0
 
 
+def test_each_stage_returns_the_columns_it_got(spark, awkward, empty, tmp_path):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{awkward}/documents.parquet")
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, awkward)
+        out.write.parquet(path := str(tmp_path / name))
+        got = spark.read.parquet(path)
+        assert got.columns == docs.columns and all(r[c] == "x" for r in got.collect() for c in CLASH)
+        assert stage(spark, spark.read.parquet(f"{empty}/documents.parquet"), empty).count() == 0
+    ids = {name: sorted((r.doc_id or -1) for r in spark.read.parquet(str(tmp_path / name)).collect()) for name, _ in P.STAGES[:-1]}
+    assert not set(ids["language_id"]) & {2, 3, 4, 5}
+    # 6 is there twice and 7 is its copy, 11 is a copy of 1; texts without words are copies of nothing.
+    assert ids["near_dedup"] == sorted([1, 2, 3, 4, 5, 6, -1, -1, 8, 9, 10])
+    assert not set(ids["decontamination"]) & {1, 11} and len(ids["decontamination"]) == len(TEXTS) - 3
+
+
 def test_phrases_and_vectors_of_awkward_tables(spark, awkward):
     # The long text has one word only: "wort wort" is inside "wort wort wort".
     found = {(r.lang, r.phrase): r for r in Q.op11_collocations(spark, awkward).collect()}

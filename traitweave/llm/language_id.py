@@ -8,8 +8,9 @@ rows whose subword counts executors compute from the whole texts. A part of the
 sample is set aside to calibrate: one temperature that makes the scores honest,
 and the score below which a prediction is rejected.
 
-Prediction is one pass: the embeddings and the layer fold into one matrix of
-buckets by languages, which tasks receive (a fixed size).
+The sample is fitted by one task, so the driver holds nothing but the result: the
+embeddings and the layer fold into one matrix of buckets by languages. Prediction
+is one pass in which tasks receive that matrix (a fixed size).
 """
 
 from __future__ import annotations
@@ -187,31 +188,56 @@ def _calibrate(model: LanguageModel, texts: list, y: np.ndarray) -> None:
         model.accept_from = float(min(right[int(len(right) * REJECT_PER_THOUSAND / 1000)] * 0.9, even + 0.1 * (1 - even)))
 
 
+def _fit_task(max_rows: int):
+    """One task fits the sample; it returns the folded model as one row."""
+
+    def fitted(batches):
+        labels, texts = [], []
+        for batch in batches:
+            labels += batch.column("label").to_pylist()
+            c = batch.column("c")
+            ids, n = (c.field(k) for k in ("bucket", "n"))
+            edges = ids.offsets.to_numpy()
+            ids, n = ids.values.to_numpy(), n.values.to_numpy()
+            # Views of the batch's buffers, not copies.
+            texts += [(ids[a:b], n[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        if not labels:
+            return
+        model = fit(texts[:max_rows], labels[:max_rows])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([model.labels]), pa.array([model.matrix.astype(np.float32).tobytes()], pa.binary()), pa.array([model.bias.tolist()], pa.list_(pa.float64())),
+                pa.array([model.temperature]), pa.array([model.accept_from]),
+            ],
+            names=["labels", "matrix", "bias", "temperature", "accept_from"],
+        )
+
+    return fitted
+
+
 def train_language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang",
                       max_rows: int = SAMPLE_ROWS) -> LanguageModel:
     """Fit on at most ``max_rows`` labelled rows of ``docs``, taken in the order of a hash of the id.
 
-    Rows with a NULL label or text are left out. Executors count the subwords
-    of the whole texts; the driver receives at most ``max_rows`` times
-    ``BUCKETS`` numbers. Without a labelled row the model knows no language.
+    Rows with a NULL label or text are left out; rows that agree in id, text and
+    label count once. Executors count the subwords of the whole texts and one of
+    them fits: it receives at most ``max_rows`` times ``BUCKETS`` numbers, the driver
+    the folded matrix only. Without a labelled row the model knows no language.
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
-    rows = rows.where("label is not null and text is not null")
-    keys = rows.select(F.xxhash64("id").alias("h"), F.xxhash64("text").alias("t")).orderBy("h", "t").limit(max_rows)
-    last = keys.agg(F.max("h")).first()[0]
+    rows = rows.where("label is not null and text is not null").withColumn("at", F.struct(F.xxhash64("id").alias("h"), F.xxhash64("text").alias("t"), F.col("label")))
+    last = rows.select("at").distinct().orderBy("at").limit(max_rows).agg(F.max("at").alias("at")).first()["at"]
     if last is None:
         return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0))
     # The sample's texts are met where they are: no text is sorted.
-    sample = rows.withColumns({"h": F.xxhash64("id"), "t": F.xxhash64("text")}).where(F.col("h") <= last)
-    found = sample.select("h", "t", "label", subword_counts(F.col("text")).alias("c")).toArrow()
-    found = found.sort_by([("h", "ascending"), ("t", "ascending"), ("label", "ascending")]).slice(0, max_rows).combine_chunks()
-    counts = found.column("c").combine_chunks()
-    texts = []
-    for r in range(len(counts)):
-        c = counts[r]
-        texts.append(tuple(np.asarray(c[k].values, dtype=np.int64) for k in ("bucket", "n")))
-    return fit(texts, found.column("label").to_pylist())
+    upto = F.struct(F.lit(last["h"]).alias("h"), F.lit(last["t"]).alias("t"), F.lit(last["label"]).alias("label"))
+    sample = rows.where(F.col("at") <= upto).select("at", "label", subword_counts(F.col("text")).alias("c"))
+    once = sample.dropDuplicates(["at"]).orderBy("at").limit(max_rows)
+    schema = "labels array<string>, matrix binary, bias array<double>, temperature double, accept_from double"
+    r = once.select("label", "c").mapInArrow(_fit_task(max_rows), schema).first()
+    matrix = np.frombuffer(r["matrix"], np.float32).reshape(BUCKETS, len(r["labels"]))
+    return LanguageModel(list(r["labels"]), matrix, np.array(r["bias"]), r["temperature"], r["accept_from"])
 
 
 def predict_language(text: Column, model: LanguageModel) -> Column:
