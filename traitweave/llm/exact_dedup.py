@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch
-from .common import prepare, stored, with_groups
+from .common import HOT_SHARE, prepare, stored
 
 WHITE_RUN = r"[\x20\x09-\x0D]+"
 
@@ -62,34 +62,45 @@ class DigestIndex:
         self.spark.sql(f"DROP TABLE {self.table}")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:
+def _in_order(digests: DataFrame, batches: int) -> list[DataFrame]:
+    """The rows in about equal batches by id, NULL first, so that the first row of a text comes first."""
+    cuts = digests.agg(F.percentile_approx("id", F.array(*[F.lit(i / batches) for i in range(1, batches)]))).first()[0] if batches > 1 else None
+    edges = [None, *dict.fromkeys(cuts or []), None]
+    parts = []
+    for low, high in zip(edges, edges[1:], strict=False):
+        above = F.lit(True) if low is None else F.col("id") > low
+        upto = F.lit(True) if high is None else F.col("id") <= high
+        parts.append(digests.where(above & upto if low is not None else F.col("id").isNull() | upto))
+    return parts
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None, batches: int = 2) -> DataFrame:
     """``(id, digest, keep_id, group_size, kept)`` per row of ``docs``.
 
-    ``group_size`` counts equal texts in this batch. With an ``index`` that
-    knows a text from an earlier batch, ``keep_id`` is the row of that batch and
-    no row of this one is kept. Rows that share the kept id are repeated rows
-    of one document and are all kept.
+    The rows are ingested in ``batches`` by id; what stays of each text is then read
+    from the index in a sort-merge join. ``group_size`` counts equal texts in
+    ``docs``. With an ``index`` that knows a text from an earlier call, ``keep_id`` is
+    the row of that call and no row of this one is kept. Rows that share the kept id
+    are repeated rows of one document and are all kept.
     """
     spark = docs.sparkSession
     prepare(spark)
     digests = docs.select(F.col(id_col).cast("bigint").alias("id"), F.unhex(text_digest(F.col(text_col))).alias("digest"))
     digests = stored(digests, "digests")
+    made = index is None
     index = index or DigestIndex(spark, scratch(spark, "index"))
-    batch = index.ingest(digests)
-    sizes = with_groups(digests, "digest", {"group_size": F.count(F.lit(1)), "_first": F.min("id"), "_ids": F.count("id")}, "groups")
-    known = index.rows().where(F.col("batch") < batch)
-    first = F.when(F.col("_ids") == F.col("group_size"), F.col("_first"))
-    if batch == 1:
-        # The index was empty: each group's own first row stays.
-        keep, old = first, F.lit(False)
-        rows = sizes
-    else:
-        # A digest that an earlier batch brought: at most one row per digest of this batch.
-        met = known.join(digests.select("digest").distinct(), "digest", "left_semi").select("digest", F.col("keep_id").alias("_keep"), F.lit(True).alias("_old"))
-        met = stored(met, "met")
-        rows = sizes.join(met, "digest", "left")
-        keep, old = F.when(F.col("_old"), F.col("_keep")).otherwise(first), F.coalesce(F.col("_old"), F.lit(False))
+    first = min(index.ingest(part) for part in _in_order(digests, batches))
+    sizes = digests.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
+    # One row per text on both sides; the index is read bucket by bucket.
+    facts = stored(sizes.hint("merge").join(index.rows().hint("merge"), "digest"), "facts")
+    if made:
+        index.close()
+    # A text with more than one row in HOT_SHARE is one of at most HOT_SHARE texts.
+    is_hot = F.col("group_size") * HOT_SHARE > F.lit(digests.count())
+    hot = facts.where(is_hot)
+    cold = digests.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(facts.where(~is_hot), "digest")
+    rows = digests.join(F.broadcast(hot), "digest").unionByName(cold)
     return rows.select(
-        "id", F.lower(F.hex("digest")).alias("digest"), keep.alias("keep_id"), "group_size",
-        (~old & F.col("id").eqNullSafe(keep)).alias("kept"),
+        "id", F.lower(F.hex("digest")).alias("digest"), "keep_id", "group_size",
+        ((F.col("batch") >= first) & F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"),
     )
