@@ -47,31 +47,33 @@ _ANY_BREAK = re.compile(b"[" + re.escape(_BREAKS) + b"]")
 class FMIndex:
     """Index of a sequence of words 1 to ``size - 1`` in which 0 separates pieces, sorted by the first ``depth`` words.
 
-    ``rows`` are the starts in order, ``before`` the word before each of them,
-    ``back`` the row of the start one word earlier, ``heads`` the rows at which the
-    starts with each word begin. Equal beginnings are in no particular order,
+    A row is a start, in order: ``before`` is the word before it, ``back`` the row of
+    the start one word earlier, and ``heads`` are the rows at which the starts with
+    each word begin. Equal beginnings are in no particular order,
     which intervals of up to ``depth`` words do not notice.
     """
 
     def __init__(self, text: np.ndarray, size: int, depth: int):
+        text = text.astype(np.int32)
         bits = max(1, int(size - 1).bit_length())
-        key, packed, room = text, [text], bits
+        key, packed, room = text, [text.astype(np.int64)], bits
         for _ in range(1, depth):
             # The next word; behind a separator nothing counts.
             key = np.where(text > 0, np.concatenate([key[1:], [0]]), 0)
             if room + bits > 63:
-                packed.append(key)
+                packed.append(key.astype(np.int64))
                 room = bits
             else:
                 packed[-1] = (packed[-1] << bits) | key
                 room += bits
-        self.rows = np.argsort(packed[0], kind="stable") if len(packed) == 1 else np.lexsort(packed[::-1])
-        self.before = np.concatenate([text[-1:], text[:-1]])[self.rows]
-        self.back = np.empty(len(text), np.int64)
-        self.back[np.argsort(self.before, kind="stable")] = np.arange(len(text))
-        self.heads = np.searchsorted(text[self.rows], np.arange(size + 1))
+        rows = np.argsort(packed[0], kind="stable") if len(packed) == 1 else np.lexsort(packed[::-1])
+        del packed, key
+        self.before = np.concatenate([text[-1:], text[:-1]])[rows]
+        self.back = np.empty(len(text), np.int32)
+        self.back[np.argsort(self.before, kind="stable")] = np.arange(len(text), dtype=np.int32)
         #: The interval of each row for phrases of one word.
-        self.single = text[self.rows] - 1
+        self.single = text[rows] - 1
+        self.heads = np.searchsorted(self.single, np.arange(-1, size))
 
     def extend(self, group: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Extend ``count`` intervals by every word before them; ``group`` names the interval of each row, -1 for none.
@@ -81,9 +83,9 @@ class FMIndex:
         New intervals are in the order of their word and the old interval.
         """
         at = np.flatnonzero((group >= 0) & (self.before > 0))
-        pairs, place, sizes = np.unique(self.before[at] * count + group[at], return_inverse=True, return_counts=True)
+        pairs, place, sizes = np.unique(self.before[at].astype(np.int64) * count + group[at], return_inverse=True, return_counts=True)
         word, old = pairs // max(count, 1), pairs % max(count, 1)
-        renewed = np.full(len(group), -1, np.int64)
+        renewed = np.full(len(group), -1, np.int32)
         renewed[self.back[at]] = place
         # Rows of the old interval that go to smaller words; separators are the smallest.
         ends = np.bincount(group[(group >= 0) & (self.before == 0)], minlength=count)
@@ -121,7 +123,7 @@ def enumerate_phrases(text: np.ndarray, size: int, depth: int) -> Iterator[Phras
         order = np.argsort(found)
         if not np.array_equal(begins, found[order]):
             raise AssertionError("forward and reverse index disagree")
-        place = np.empty(len(order) + 1, np.int64)
+        place = np.empty(len(order) + 1, np.int32)
         place[order], place[-1] = np.arange(len(order)), -1
         behind = place[behind]
         words, count, start = np.concatenate([word[:, None], words[rest]], axis=1), sizes, begins
