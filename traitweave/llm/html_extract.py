@@ -22,6 +22,7 @@ import html as entities
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -55,11 +56,15 @@ OTHER = re.compile(
 )
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?"
-    r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]{0,4096}+\"|'[^']{0,4096}+')*+|[^>]*+)>"
+    r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>"
     r"|(?P<text>[^<]++|<)",
     re.S,
 )
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+# Words before another one that make it a property of the page, and elements that hold the whole page.
+_HAS = re.compile(r"(?:^|\s)(?:has|have|with|no|without|is|not|show|hide)[-_]\S*")
+_WHOLE = frozenset(("html", "body", "main", "article"))
+#: Elements below this depth are read like all others, but are leaves of the tree that is aligned.
 _DEPTH = 200
 
 
@@ -78,6 +83,8 @@ class Page:
     def __init__(self, html: str):
         self.root = Node("#", "", "")
         self._open = [self.root]
+        #: How many open elements there are of each tag and kind.
+        self._count: Counter[str] = Counter()
         self._now: list[str] | None = None
         self._found: list[tuple[str, bool, bool, Node, list[str]]] = []
         self._parse(html)
@@ -117,10 +124,9 @@ class Page:
             if not text.strip():
                 return
             self._now = []
-            slot = "/".join(n.label for n in self._open[1:] if n.label)
-            other = any(n.kind == "other" for n in self._open)
-            inside = any(n.kind == "article" for n in self._open)
-            node = next(n for n in reversed(self._open) if n.label or n is self.root)
+            slot = "/".join(n.label for n in self._open[1:_DEPTH] if n.label)
+            other, inside = self._count["#other"] > 0, self._count["#article"] > 0
+            node = next(n for n in reversed(self._open[:_DEPTH]) if n.label or n is self.root)
             self._found.append((slot, other, inside, node, self._now))
         self._now.append(entities.unescape(text) if "&" in text else text)
 
@@ -143,35 +149,47 @@ class Page:
                 hidden = True
             elif name.lower() in ("class", "id", "role"):
                 named.append(value)
-        other = tag in SILENT or tag in ASIDE or hidden or any(map(OTHER.search, named))
+        # A word on the whole page tells what the page has, not what it is.
+        words = [] if tag in _WHOLE else [_HAS.sub(" ", n) for n in named]
+        other = tag in SILENT or tag in ASIDE or hidden or any(map(OTHER.search, words))
         apart = block or other
         node = Node(tag, "other" if other else "article" if tag in ("article", "main") else "", ".".join([tag, *named]) if apart else "")
         if other:
             self._now = None
-        if len(self._open) < _DEPTH:
-            if apart:
-                next(n for n in reversed(self._open) if n.label or n is self.root).children.append(node)
-            self._open.append(node)
+        if len(self._open) < _DEPTH and apart:
+            next(n for n in reversed(self._open) if n.label or n is self.root).children.append(node)
+        self._open.append(node)
+        self._count.update((tag, f"#{node.kind}"))
+
+    def _drop(self, first: int, last: int | None = None) -> None:
+        """Close the open elements from ``first`` on, or up to ``last``."""
+        for node in self._open[first:last]:
+            self._count.subtract((node.tag, f"#{node.kind}"))
+        del self._open[first:last]
 
     def _close(self, tag: str, limit) -> None:
         """Close up to the nearest ``tag``, unless an element of ``limit`` is nearer."""
+        if not self._count[tag]:
+            return
         for i in range(len(self._open) - 1, 0, -1):
             if self._open[i].tag == tag:
-                del self._open[i:]
+                self._drop(i)
                 self._now = None
                 return
             if self._open[i].tag in limit:
                 return
 
     def _end(self, tag: str) -> None:
+        if not self._count[tag]:
+            return
         for i in range(len(self._open) - 1, 0, -1):
             node = self._open[i]
             if node.tag == tag:
                 if node.label:
-                    del self._open[i:]
+                    self._drop(i)
                     self._now = None
                 else:
-                    del self._open[i]  # an inline element ends, its block goes on
+                    self._drop(i, i + 1)  # an inline element ends, its block goes on
                 return
             if node.label and tag not in BLOCK:
                 return
@@ -273,7 +291,8 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
     """``(page_id, url, text)`` per row of ``pages``; ``text`` is empty if there is none.
 
     Blocks are joined in page order by a line feed, white space within a block
-    is one space. NULL html counts as empty; a NULL or unreadable address is no
+    is one space. Elements of every depth and attributes of every length are read;
+    only the tree that is aligned ends at depth ``_DEPTH``. NULL html counts as empty; a NULL or unreadable address is no
     host, such pages are not compared. Repeated rows get equal texts. An empty
     table gives an empty result.
     """
