@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
 
+#: Nodes of a connected part of a network whose flow matrix a task holds whole (twice eight bytes a cell).
+PART_NODES = 1000
+
 
 def asymmetric_edges(edges: DataFrame) -> DataFrame:
     """Directed edges without an equal edge in the other direction.
@@ -81,7 +88,14 @@ def flow_matrix(edges: DataFrame) -> DataFrame:
 
 
 def flow_round(cells: DataFrame, inflation: float = 2.0, eps: float = 1e-5) -> DataFrame:
-    """One round: the matrix times itself, every cell to the power of ``inflation``, columns pruned and made stochastic."""
+    """One round: the matrix times itself, every cell to the power of ``inflation``, columns pruned and made stochastic.
+
+    ``(i, j, p, part)``: the connected part of the network is found once, in the first round.
+    """
+    return _in_parts(cells, lambda large: _round(large, inflation, eps), lambda p: (_flown(p, inflation, eps), True))[0]
+
+
+def _round(cells: DataFrame, inflation: float, eps: float) -> DataFrame:
     left = cells.select("i", F.col("j").alias("k"), F.col("p").alias("a"))
     right = cells.select(F.col("i").alias("k"), "j", F.col("p").alias("b"))
     squared = left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("p"))
@@ -89,6 +103,53 @@ def flow_round(cells: DataFrame, inflation: float = 2.0, eps: float = 1e-5) -> D
     return checkpointed(_normalised(_pruned(checkpointed(inflated), eps)))
 
 
+def _flown(p: np.ndarray, inflation: float, eps: float) -> np.ndarray:
+    """``_round`` of a matrix without gaps."""
+    p = _stochastic((p @ p) ** inflation)
+    return _stochastic(np.where((p >= eps) | (p >= p.max(axis=0) * (1 - 1e-9)), p, 0.0))
+
+
+def _stochastic(p: np.ndarray) -> np.ndarray:
+    total = p.sum(axis=0)
+    return np.divide(p, total, out=np.zeros_like(p), where=total > 0)
+
+
+def _in_parts(cells: DataFrame, whole: Callable[[DataFrame], DataFrame], part: Callable[[np.ndarray], tuple[np.ndarray, bool]]) -> tuple[DataFrame, bool]:
+    """A function of a flow matrix, worked out for each connected part of the network on its own.
+
+    No path leads from one part to another, so no round mixes their cells. Parts
+    of up to ``PART_NODES`` nodes go through ``part``, a matrix in a task each, and leave
+    only their own cells; larger ones, and any with cells that are not above 0, go
+    through ``whole`` together. Also says whether ``part`` was content with all.
+    """
+    cells = checkpointed(cells)
+    if not cells.where("i is null or j is null").isEmpty():
+        return whole(cells.select("i", "j", "p")).withColumn("part", F.lit(None).cast(cells.schema["i"].dataType)), True
+    if "part" not in cells.columns:
+        named = components(cells.select(F.col("i").alias("src"), F.col("j").alias("dst")))
+        cells = checkpointed(cells.join(named.withColumnsRenamed({"node": "j", "component": "part"}), "j").select("i", "j", "p", "part"))
+    sizes = cells.groupBy("part").agg(F.count_distinct("j").alias("n"), F.bool_and(F.coalesce(F.col("p") > 0, F.lit(False))).alias("good"))
+    large = checkpointed(sizes.where(~F.col("good") | (F.col("n") > PART_NODES)).select("part"))
+    few, rest = cells, None
+    if not large.isEmpty():
+        few, many = cells.join(large, "part", "left_anti"), cells.join(large, "part", "left_semi")
+        rest = whole(many.select("i", "j", "p")).join(many.select("j", "part").distinct(), "j").select("i", "j", "p", "part")
+    kinds = ", ".join(f"{c} {cells.schema[c].dataType.simpleString()}" for c in ("i", "j", "p", "part"))
+
+    def worked(rows: pd.DataFrame) -> pd.DataFrame:
+        nodes, at = np.unique(np.concatenate([rows["i"].to_numpy(), rows["j"].to_numpy()]), return_inverse=True)
+        p = np.zeros((len(nodes), len(nodes)))
+        p[at[:len(rows)], at[len(rows):]] = rows["p"].to_numpy()
+        p, content = part(p)
+        i, j = np.nonzero(p)
+        return pd.DataFrame({"i": nodes[i], "j": nodes[j], "p": p[i, j], "part": rows["part"].iloc[0], "content": content})
+
+    done = checkpointed(few.groupBy("part").applyInPandas(worked, f"{kinds}, content boolean"))
+    content = done.where("not content").isEmpty()
+    done = done.drop("content")
+    return (done if rest is None else done.unionByName(rest)), content
+
+
 def mcl(
     edges: DataFrame, inflation: float = 2.0, eps: float = 1e-5, max_iter: int = 100, tol: float = 1e-6
 ) -> DataFrame:
@@ -98,16 +159,28 @@ def mcl(
     ``eps`` are pruned, but the largest cells of a column always stay: a flat
     column keeps all its cells, so no node is lost. Every node of the input is
     in the result. Raises if the columns have not settled after ``max_iter``
-    rounds.
+    rounds. A connected part of the network ends its rounds when its own columns
+    have settled.
     """
-    cells = checkpointed(flow_matrix(edges))
-    for _ in range(max_iter):
-        cells = flow_round(cells, inflation, eps)
-        # A column has settled when all its cells are equal.
-        spread = cells.groupBy("j").agg((F.max("p") - F.sum(F.col("p") * F.col("p"))).alias("d"))
-        if (spread.agg(F.max("d")).first()[0] or 0.0) < tol:
-            break
-    else:
+
+    def whole(cells: DataFrame) -> DataFrame:
+        for _ in range(max_iter):
+            cells = _round(cells, inflation, eps)
+            # A column has settled when all its cells are equal.
+            spread = cells.groupBy("j").agg((F.max("p") - F.sum(F.col("p") * F.col("p"))).alias("d"))
+            if (spread.agg(F.max("d")).first()[0] or 0.0) < tol:
+                return cells
+        raise RuntimeError(f"Markov clustering did not settle in {max_iter} rounds")
+
+    def part(p: np.ndarray) -> tuple[np.ndarray, bool]:
+        for _ in range(max_iter):
+            p = _flown(p, inflation, eps)
+            if (p.max(axis=0) - (p * p).sum(axis=0)).max() < tol:
+                return p, True
+        return p, False
+
+    cells, settled = _in_parts(flow_matrix(edges), whole, part)
+    if not settled:
         raise RuntimeError(f"Markov clustering did not settle in {max_iter} rounds")
     # Columns and the rows that attract them form the clusters.
     linked = components(_pruned(cells, eps).select(F.col("i").alias("src"), F.col("j").alias("dst")))

@@ -114,7 +114,7 @@ def _cluster_sizes(spark, sf):
 def _flow(spark, sf):
     """The flow matrix after two rounds of Markov clustering."""
     cells = G.flow_round(G.flow_round(G.flow_matrix(order_edges(spark, sf))))
-    return rounded(cells, "p")
+    return rounded(cells.select("i", "j", "p"), "p")
 
 
 def _flow_round_sql(n: int) -> str:
