@@ -116,3 +116,12 @@ def test_smote(spark):
         ends = [(p, q) for p in few for q in few if p is not q]
         cross = [abs((r["a"] - p[2]) * (q[3] - p[3]) - (r["b"] - p[3]) * (q[2] - p[2])) for p, q in ends]
         assert min(cross) < 1e-9  # on the line between two minority rows
+
+
+def test_shuffled_features_do_not_depend_on_the_buckets(spark, rows):
+    """Many small features in few buckets: the sizes of the buckets are then a small table."""
+    from traitweave.operators.sampling import shuffle_features
+
+    long = spark.createDataFrame([(k, f"f{i}", float(k * 10 + i)) for k in range(30) for i in range(3)], "key INT, feature STRING, value DOUBLE")
+    got = [rows(shuffle_features(long, 7, digits=d)) for d in (0, 1, 3)]
+    assert got[0] == got[1] == got[2] == rows(shuffle_features(long, 7))
