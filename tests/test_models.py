@@ -169,3 +169,27 @@ def test_targets_are_leak_safe(spark, tmp_path):
         long, ["go_a"], excluded, None, 2, 2, path=str(tmp_path / "u"), grid={"maxDepth": [1, 2], "numTrees": [2]}, n_iter=2, folds=2
     )
     assert tuned.search.count() == 2 and tuned.scores.first()["f1"] == 1.0
+
+
+def test_copies_of_training_rows_are_not_made_in_python(spark, monkeypatch):
+    """Many queries: Python says which cells a row goes to, and Spark makes the copies; blocks of distances are bounded."""
+    import numpy as np
+
+    from traitweave.operators import neighbours as N
+
+    monkeypatch.setattr(N, "FEW_QUERIES", 10)
+    monkeypatch.setattr(N, "BLOCK_ROWS", 16)
+    vecs = np.random.default_rng(4).normal(size=(120, 5))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "id LONG, vec ARRAY<DOUBLE>")
+    queries, train = df.where("id < 40"), df.where("id >= 40")
+    for p in (1.0, 2.0):
+        near = N.nearest(queries, train, 3, p)
+        dist = np.linalg.norm(vecs[:40, None] - vecs[None, 40:], ord=p, axis=2)
+        want = {(q, int(i) + 40, place + 1) for q in range(40) for place, i in enumerate(np.argsort(dist[q])[:3])}
+        assert {(r["query"], r["id"], r["place"]) for r in near.collect()} == want
+    plan = N.nearest(queries, train, 3)._jdf.queryExecution().toString()
+    assert "MapInPandas route" not in plan and "route(cell" in plan
+    monkeypatch.setattr(N, "FEW_QUERIES", 8192)
+    few = N.nearest(queries, train, 3)
+    monkeypatch.setattr(N, "CELLS", 100)
+    assert sorted(few.collect()) == sorted(N.nearest(queries, train, 3).collect())

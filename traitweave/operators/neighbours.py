@@ -30,6 +30,8 @@ BLOCK_ROWS = 2048
 MAX_PIVOTS = 128
 # Queries, and bytes of them, that every task may hold.
 FEW_QUERIES, FEW_BYTES = 8192, 64 << 20
+# Distances, and gaps between single coordinates, that a task holds at a time.
+CELLS = 1 << 21
 # Relative room for rounding in the distance bounds.
 SLACK = 1e-9
 
@@ -37,7 +39,7 @@ SLACK = 1e-9
 def distances(a: np.ndarray, b: np.ndarray, p: float) -> np.ndarray:
     """Minkowski distances, rows of ``a`` against rows of ``b``."""
     out = np.empty((len(a), len(b)))
-    step = max(1, 4_000_000 // max(1, b.size))
+    step = max(1, CELLS // max(1, b.size))
     for i in range(0, len(a), step):
         gap = np.abs(a[i : i + step, None, :] - b[None, :, :])
         out[i : i + step] = (gap * gap if p == 2 else gap**p).sum(axis=2)
@@ -72,13 +74,14 @@ def _least(dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 def _few_queries(asked: pd.DataFrame, train: DataFrame, k: int, p: float, exclude_self: bool, mark_cost: float, schema: str) -> DataFrame:
     """The k nearest rows of each partition for a table of queries that every task gets; the training table stays where it is."""
     shared = train.sparkSession.sparkContext.broadcast(asked)
+    step = min(BLOCK_ROWS, max(1, CELLS // max(1, len(asked))))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         queries, best = shared.value, None
         names = queries["id"].to_numpy()
         for batch in batches:
-            for at in range(0, len(batch), BLOCK_ROWS):
-                known = batch.iloc[at:at + BLOCK_ROWS].sort_values("id", ignore_index=True)
+            for at in range(0, len(batch), step):
+                known = batch.iloc[at:at + step].sort_values("id", ignore_index=True)
                 dist = _frame_distances(queries, known, p, mark_cost)
                 ids = known["id"].to_numpy()
                 if exclude_self:
@@ -162,13 +165,13 @@ def nearest(
         floor[cell] = between[cell] - row["radius"] - bound
         floor[cell] -= SLACK * (1.0 + between[cell] + row["radius"])
 
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            meets = batch["pdist"].to_numpy()[:, None] >= floor[:, batch["cell"]].T
-            rows, targets = np.nonzero(meets)
-            yield batch[payload].iloc[rows].assign(target=targets.astype("int32"))
+    @F.pandas_udf("array<int>")
+    def route(cell: pd.Series, pdist: pd.Series) -> pd.Series:
+        meets = pdist.to_numpy()[:, None] >= floor[:, cell].T
+        return pd.Series([np.flatnonzero(m).astype("int32") for m in meets], dtype=object)
 
-    routed = known.mapInPandas(route, ", ".join([_field(known, c) for c in payload] + ["target int"]))
+    # Only the numbers of the cells come from Python; the copies of a row are made, and shuffled, without it.
+    routed = known.select(*payload, F.explode(route("cell", "pdist")).alias("target"))
     sent = {r["target"]: r["count"] for r in routed.groupBy("target").count().collect()}
     q_blocks = {c: r["n"] for c, r in cells.items()}
 
