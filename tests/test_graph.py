@@ -136,3 +136,67 @@ def test_mcl_loses_no_node(spark):
     assert len(out) == 25 and {r["cluster"] for r in out} == {0}
     with pytest.raises(RuntimeError, match="settle"):
         G.mcl(spark.createDataFrame([(0, 1, 1.0), (1, 2, 0.7), (2, 3, 1.0)], "src INT, dst INT, w DOUBLE"), 1.1, max_iter=1)
+
+
+def test_parts_of_a_flow_are_worked_out_alone(spark, rows, monkeypatch):
+    """A part in a task says the same as the rounds of joins, and only parts that are too large, or odd, take those."""
+    rnd = random.Random(3)
+    pairs = [(f"{c}{rnd.randint(0, 7)}", f"{c}{rnd.randint(0, 7)}", rnd.random() + 0.1) for c in "abc" for _ in range(12)] + [("x", "x", 1.0)]
+    edges = spark.createDataFrame(pairs, "src STRING, dst STRING, w DOUBLE")
+    met = []
+    whole = G._round
+    monkeypatch.setattr(G, "_round", lambda cells, *a: met.append(cells.count()) or whole(cells, *a))
+    cells = G.flow_matrix(edges)
+    alone, clusters = rows(G.flow_round(G.flow_round(cells)), "i", "j", "p"), rows(G.mcl(edges))
+    assert not met
+    monkeypatch.setattr(G, "PART_NODES", 0)
+    assert rows(G.flow_round(G.flow_round(cells)), "i", "j", "p") == alone and met
+    assert rows(G.mcl(edges)) == clusters
+
+
+def test_a_flow_with_null_nodes_or_zero_cells(spark, rows):
+    cells = spark.createDataFrame([("a", "a", 0.0), ("b", "a", 1.0), ("a", "b", 0.5), ("b", "b", 0.5), ("c", "c", 1.0)], "i STRING, j STRING, p DOUBLE")
+    assert rows(G.flow_round(cells), "i", "j", "p") == rows(G._round(cells, 2.0, 1e-5))
+    holes = cells.unionByName(spark.createDataFrame([(None, "a", 0.5)], "i STRING, j STRING, p DOUBLE"))
+    assert rows(G.flow_round(holes), "i", "j", "p") == rows(G._round(holes, 2.0, 1e-5))
+
+
+def _layered(spark):
+    """A deep graph with several parents a term, and a cycle on top with terms below it."""
+    pairs = [(f"n{i}", f"n{i // d}") for i in range(1, 80) for d in (2, 3)] + [("n0", "x"), ("x", "y"), ("y", "x"), ("y", "z"), ("n5", "n5"), (None, "x"), ("x", None)]
+    up = {}
+    for a, b in pairs:
+        if a != b and a is not None and b is not None:
+            up.setdefault(a, set()).add(b)
+
+    def above(t):
+        seen, at = set(), list(up.get(t, ()))
+        while at:
+            t2 = at.pop()
+            if t2 not in seen:
+                seen.add(t2)
+                at += up.get(t2, ())
+        return seen - {t}
+
+    return _edges(spark, pairs), {(t, r) for t in up for r in above(t)}
+
+
+def test_layers_of_a_closure(spark, rows, monkeypatch):
+    """Terms that nothing is below are set aside: the doubled paths are those of the few terms left."""
+    edges, want = _layered(spark)
+    doubled, sizes = T._doubled, []
+    monkeypatch.setattr(T, "_doubled", lambda once: sizes.append(once.count()) or doubled(once))
+    got = rows(T.ancestors(edges, small=0))
+    assert len(got) == len(set(got)) and set(got) == want
+    assert sizes[0] < 20
+
+
+def test_exclusions_of_many_targets_come_from_the_closure(spark, rows, monkeypatch):
+    edges, pairs = _layered(spark)
+    names = [f"n{i}" for i in range(0, 80, 2)] + ["x", "away"]
+    targets = spark.createDataFrame([(f"go_{t}",) for t in names] + [("pfa_1",)], "target STRING")
+    want = {(f"go_{t}", f"go_{r}") for a, b in pairs for t, r in ((a, b), (b, a)) if t in names} | {(f"go_{t}", f"go_{t}") for t in names} | {("pfa_1", "pfa_1")}
+    walked = rows(T.exclusions(targets.limit(1000), edges, True))
+    monkeypatch.setattr(T, "_walk", None)
+    got = rows(T.exclusions(targets, edges, True, small=0))
+    assert len(got) == len(set(got)) and set(got) == want == set(walked)

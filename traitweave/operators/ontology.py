@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..plans.joins import broadcast_small
+from ..plans.joins import BROADCAST_ROWS, broadcast_small
 from ..session import checkpointed
 
 # Every how many rounds the closure found so far is merged into one table.
 MERGE_EVERY = 8
+# A layer of terms that nothing is below is set aside if it has at least one in so many of the edges left.
+LAYER_SHARE = 8
+# With at least one target in so many edges, most of the graph is related to one.
+MANY_TARGETS = 8
 
 
 def _steps(edges: DataFrame, sides: Sequence[str]) -> DataFrame:
@@ -44,8 +48,8 @@ def _walk(steps: DataFrame, found: DataFrame) -> DataFrame:
             found = checkpointed(found)
 
 
-def ancestors(edges: DataFrame) -> DataFrame:
-    """All ``(term, relative)`` with ``relative`` above ``term``.
+def _doubled(once: DataFrame) -> DataFrame:
+    """All ``(term, relative)`` with ``relative`` above ``term`` along the distinct steps ``once``.
 
     Paths double: after round k all pairs up to 2^k steps apart are known with
     their distance. A pair further apart has a term exactly 2^k steps above it on a
@@ -53,7 +57,6 @@ def ancestors(edges: DataFrame) -> DataFrame:
     known ones, and a graph of depth d is done after log2(d) rounds. Distances
     also end the rounds on cycles.
     """
-    once = edges.select(F.col("child").alias("term"), F.col("parent").alias("relative")).where("term <> relative").distinct()
     found, reach = checkpointed(once.withColumn("d", F.lit(1))), 1
     while True:
         last = found.where(F.col("d") == reach)
@@ -67,6 +70,41 @@ def ancestors(edges: DataFrame) -> DataFrame:
         found, reach = checkpointed(nearest), 2 * reach
 
 
+def _lists(edges: DataFrame, small: int) -> DataFrame:
+    """``(term, above)``: one row per term with a parent, and all that is above it.
+
+    Terms that nothing is below are set aside, layer by layer, as long as a layer
+    is a good share of what is left: they lie on no cycle, and once the terms above
+    them are known, one join completes them. So most pairs are made, shuffled and
+    written once. What is left, cycles among it, is small or deep and doubles its paths.
+    """
+    once = edges.select(F.col("child").alias("term"), F.col("parent").alias("relative")).where("term <> relative").distinct()
+    rest, layers = checkpointed(once), []
+    n = rest.count()
+    while n > small:
+        inner = checkpointed(rest.select(F.col("relative").alias("term")).distinct())
+        kept = checkpointed(rest.join(inner, "term", "left_semi"))
+        left = kept.count()
+        if (n - left) * LAYER_SHARE < n:
+            break
+        layers.append(rest.join(inner, "term", "left_anti"))
+        rest, n = kept, left
+    known = checkpointed(_doubled(rest).groupBy("term").agg(F.collect_list("relative").alias("above")))
+    for layer in reversed(layers):
+        met = layer.join(known.withColumnRenamed("term", "relative"), "relative", "left")
+        parts = met.select("term", F.array_append(F.coalesce("above", F.array().cast("array<string>")), F.col("relative")).alias("part"))
+        known = known.unionByName(checkpointed(parts.groupBy("term").agg(F.array_distinct(F.flatten(F.collect_list("part"))).alias("above"))))
+    return known
+
+
+def ancestors(edges: DataFrame, small: int = BROADCAST_ROWS) -> DataFrame:
+    """All ``(term, relative)`` with ``relative`` above ``term``. Graphs of up to ``small`` edges are not cut into layers."""
+    named = edges.select(F.col("child").cast("string"), F.col("parent").cast("string"))
+    pairs = _lists(named, small).select("term", F.explode("above").alias("relative"))
+    kinds = edges.schema["child"].dataType, edges.schema["parent"].dataType
+    return pairs.select(F.col("term").cast(kinds[0]).alias("term"), F.col("relative").cast(kinds[1]).alias("relative"))
+
+
 def closure(edges: DataFrame, direction: str = "both") -> DataFrame:
     """``(term, relative, side)`` with side ``ancestor`` or ``descendant``.
 
@@ -84,20 +122,32 @@ def closure(edges: DataFrame, direction: str = "both") -> DataFrame:
     return sides[direction]
 
 
+def _related(edges: DataFrame, terms: DataFrame, small: int) -> DataFrame:
+    """``(term, relative)``: what is above and below the ``terms``, from the closure of the graph."""
+    lists = checkpointed(_lists(edges, small))
+    above = lists.join(terms, "term", "left_semi").select("term", F.explode("above").alias("relative"))
+    below = lists.select(F.explode("above").alias("term"), F.col("term").alias("relative")).join(terms, "term", "left_semi")
+    return above.unionByName(below)
+
+
 def exclusions(
-    targets: DataFrame, edges: DataFrame, include_self: bool = False, prefix: str = "go_"
+    targets: DataFrame, edges: DataFrame, include_self: bool = False, prefix: str = "go_", small: int = BROADCAST_ROWS
 ) -> DataFrame:
     """``(target, feature)``: what each target's training set must not contain.
 
     Made for all targets at once; only what is above or below a target is
-    walked. Targets are feature names; their terms are the names without the
+    walked, or, for targets all over the graph, its closure is made and read. Targets are feature names; their terms are the names without the
     prefix.
     """
     wanted = targets.select("target").where(F.col("target").startswith(prefix)).distinct()
     terms = wanted.select(F.substring(F.col("target"), len(prefix) + 1, 2**31 - 1).alias("term"))
     named = edges.select(F.col("child").cast("string"), F.col("parent").cast("string"))
-    steps = _steps(named, ["ancestor", "descendant"])
-    related = _walk(steps, checkpointed(steps.join(terms, "term", "left_semi")))
+    terms = checkpointed(terms)
+    if terms.count() * MANY_TARGETS >= named.count():
+        related = _related(named, terms, small)
+    else:
+        steps = _steps(named, ["ancestor", "descendant"])
+        related = _walk(steps, checkpointed(steps.join(terms, "term", "left_semi")))
     full = [F.concat(F.lit(prefix), F.col(c)) for c in ("term", "relative")]
     relatives = related.select(full[0].alias("target"), full[1].alias("feature"))
     if include_self:
