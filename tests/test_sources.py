@@ -9,6 +9,7 @@ from traitweave.sources import ontology as OBO
 from traitweave.sources import results as RES
 from traitweave.sources import sequences as SEQ
 from traitweave.sources import tables as S
+from traitweave.workload import sources as workload_sources
 
 TERMS = """format-version: 1.2
 
@@ -95,3 +96,12 @@ def test_saved_pipeline(spark, tmp_path):
     again = RES.load_model(str(tmp_path / "m"))
     wrong = again.transform(df).where(F.col("prediction") != F.col("label")).count()
     assert wrong == 0
+
+
+def test_folders_of_runs_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(u, f'{{"k": {u + i}}}') for u in range(12) for i in range(2)], "user_id bigint, props string").write.parquet(str(tmp_path / "sf/events.parquet"))
+    monkeypatch.setattr(workload_sources, "scratch", lambda spark, name: str(tmp_path / name))
+    found = workload_sources._run_info(spark, str(tmp_path / "sf")).collect()
+    assert [(r["run"], r["n_processed"]) for r in found] == [(str(u), 2 * u + 1) for u in range(12)]
+    files = list((tmp_path / "runs").glob("*/*.json"))
+    assert len(files) == 12 and len({f.name.split("-")[1] for f in files}) > 1

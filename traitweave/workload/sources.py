@@ -77,7 +77,8 @@ def _run_info(spark, sf):
     n = F.sum(F.get_json_object("props", "$.k").cast("bigint"))
     info = table(spark, sf, "events").groupBy("user_id").agg(n.alias("n_processed"))
     named = info.select(F.concat(F.col("user_id"), F.lit("_kal_out")).alias("folder"), "n_processed")
-    named.write.partitionBy("folder").json(path)
+    # A file per row: by their bytes, Spark would give all of them to one task.
+    named.repartition(4 * spark.sparkContext.defaultParallelism, "folder").write.partitionBy("folder").json(path)
     return runs_by_reads(
         S.read_run_info(spark, f"{path}/*/*.json").withColumn("run", F.regexp_replace("run", "^folder=", ""))
     )
