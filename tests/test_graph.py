@@ -200,3 +200,20 @@ def test_exclusions_of_many_targets_come_from_the_closure(spark, rows, monkeypat
     monkeypatch.setattr(T, "_walk", None)
     got = rows(T.exclusions(targets, edges, True, small=0))
     assert len(got) == len(set(got)) and set(got) == want == set(walked)
+
+
+def test_exclusions_among_features_walk_upwards_only(spark, rows, monkeypatch):
+    """However much is below a target, only the given features and what is above them is looked at."""
+    edges, pairs = _layered(spark)
+    names, few = ["n0", "n2", "n40", "x", "away"], ["n1", "n2", "n41", "n60", "x", "nowhere"]
+    targets = spark.createDataFrame([(f"go_{t}",) for t in names] + [("pfa_1",)], "target STRING")
+    features = spark.createDataFrame([(f"go_{f}",) for f in few] + [("pfa_1",), (None,)], "feature STRING")
+    want = {(f"go_{t}", f"go_{r}") for a, b in pairs for t, r in ((a, b), (b, a)) if t in names and r in few}
+    want |= {(f"go_{t}", f"go_{t}") for t in names if t in few} | {("pfa_1", "pfa_1")}
+    monkeypatch.setattr(T, "FEATURES_PER_TARGET", 0)
+    assert set(rows(T.exclusions(targets, edges, True, features=features))) == want
+    monkeypatch.setattr(T, "FEATURES_PER_TARGET", 8)
+    steps, sides = T._steps, []
+    monkeypatch.setattr(T, "_steps", lambda edges, some: sides.append(list(some)) or steps(edges, some))
+    got = rows(T.exclusions(targets, edges, True, features=features))
+    assert len(got) == len(set(got)) and set(got) == want and sides == [["ancestor"]]

@@ -17,6 +17,8 @@ MERGE_EVERY = 8
 LAYER_SHARE = 8
 # With at least one target in so many edges, most of the graph is related to one.
 MANY_TARGETS = 8
+# Relatives among given features are found from the features if there are at most so many of them per target.
+FEATURES_PER_TARGET = 8
 
 
 def _steps(edges: DataFrame, sides: Sequence[str]) -> DataFrame:
@@ -130,20 +132,41 @@ def _related(edges: DataFrame, terms: DataFrame, small: int) -> DataFrame:
     return above.unionByName(below)
 
 
+def _terms(names: DataFrame, col: str, prefix: str) -> DataFrame:
+    """``(term)``: the names with the prefix, without it."""
+    some = names.select(col).where(F.col(col).startswith(prefix)).distinct()
+    return checkpointed(some.select(F.substring(F.col(col), len(prefix) + 1, 2**31 - 1).alias("term")))
+
+
+def _related_among(edges: DataFrame, terms: DataFrame, others: DataFrame) -> DataFrame:
+    """``(term, relative)``: those of the ``others`` that are above and below the ``terms``.
+
+    What is below a term has the term above it, so all walks go upwards: from
+    few names they stay small, however much of the graph is below the terms.
+    """
+    steps = _steps(edges, ["ancestor"])
+    walked = _walk(steps, checkpointed(steps.join(terms.unionByName(others).distinct(), "term", "left_semi")))
+    above = walked.select("term", "relative").join(terms, "term", "left_semi")
+    below = walked.select(F.col("relative").alias("term"), F.col("term").alias("relative")).join(terms, "term", "left_semi")
+    return above.unionByName(below).join(others.withColumnRenamed("term", "relative"), "relative", "left_semi").select("term", "relative")
+
+
 def exclusions(
-    targets: DataFrame, edges: DataFrame, include_self: bool = False, prefix: str = "go_", small: int = BROADCAST_ROWS
+    targets: DataFrame, edges: DataFrame, include_self: bool = False, prefix: str = "go_", small: int = BROADCAST_ROWS, features: DataFrame | None = None
 ) -> DataFrame:
     """``(target, feature)``: what each target's training set must not contain.
 
     Made for all targets at once; only what is above or below a target is
     walked, or, for targets all over the graph, its closure is made and read. Targets are feature names; their terms are the names without the
-    prefix.
+    prefix. With ``features`` ``(feature)`` only those are listed.
     """
-    wanted = targets.select("target").where(F.col("target").startswith(prefix)).distinct()
-    terms = wanted.select(F.substring(F.col("target"), len(prefix) + 1, 2**31 - 1).alias("term"))
+    terms = _terms(targets, "target", prefix)
     named = edges.select(F.col("child").cast("string"), F.col("parent").cast("string"))
-    terms = checkpointed(terms)
-    if terms.count() * MANY_TARGETS >= named.count():
+    others = None if features is None else _terms(features, "feature", prefix)
+    n_terms = terms.count()
+    if others is not None and others.count() <= n_terms * FEATURES_PER_TARGET:
+        related = _related_among(named, terms, others)
+    elif n_terms * MANY_TARGETS >= named.count():
         related = _related(named, terms, small)
     else:
         steps = _steps(named, ["ancestor", "descendant"])
@@ -152,6 +175,8 @@ def exclusions(
     relatives = related.select(full[0].alias("target"), full[1].alias("feature"))
     if include_self:
         relatives = relatives.unionByName(targets.select("target", F.col("target").alias("feature")))
+    if features is not None:
+        relatives = relatives.join(features.select("feature").distinct(), "feature", "left_semi").select("target", "feature")
     return relatives.distinct()
 
 
