@@ -125,6 +125,17 @@ def test_multiplicity(spark, rows):
     assert rows(O.ortholog_multiplicity(df)) == [("A", "B", 1, 0, 1, 2, 4), ("B", "A", 1, 2, 0, 2, 5)]
 
 
+@pytest.mark.parametrize("most", [10, 0])
+def test_multiplicity_without_a_join_and_with_hot_genes(spark, rows, monkeypatch, most):
+    """Repeated and mirrored pairs and missing names count the same, whether pairs meet in one shuffle or a gene has too many and is joined."""
+    monkeypatch.setattr(O, "MAX_GROUP_ROWS", most)
+    names = "species_a STRING, gene_a STRING, species_b STRING, gene_b STRING"
+    pairs = [("A", "a1", "B", "b1"), ("A", "a1", "B", "b1"), ("A", "a2", "B", "b1"), ("B", "b1", "A", "a1"), ("A", "a3", "A", "a4"), ("A", "a4", "A", "a3"), ("A", None, "B", "b2"), (None, "x", "B", "b3")]
+    found = O.ortholog_multiplicity(spark.createDataFrame(pairs, names))
+    assert ("Join" in found._jdf.queryExecution().optimizedPlan().toString()) == (most == 0)
+    assert rows(found) == [("A", "A", 2, 0, 0, 0, 2), ("A", "B", 1, 2, 0, 0, 3), ("B", "A", 0, 0, 1, 0, 1)]
+
+
 def test_duplications(spark, rows):
     events = spark.createDataFrame([("o1", "N1"), ("o1", "N2"), ("o2", "N1")], "orthogroup STRING, node STRING")
     assert rows(O.duplication_counts(events)) == [("node", "N1", 2), ("node", "N2", 1), ("orthogroup", "o1", 2), ("orthogroup", "o2", 1)]

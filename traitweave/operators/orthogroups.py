@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.ordering import MAX_GROUP_ROWS
 from .ranking import cumulative_share
 
+# Cells in which the pairs of genes are counted to see whether one gene has too many for a task.
+GENE_CELLS = 65_536
+
 
 def _cells(og: DataFrame) -> DataFrame:
     """Genes per orthogroup and species; everything below starts from this."""
@@ -116,16 +120,21 @@ def ortholog_multiplicity(pairs: DataFrame) -> DataFrame:
     genes of a with several partners, ``one_to_many`` genes of a that share one
     partner.
     """
-    forward = pairs.select("species_a", "gene_a", "species_b", "gene_b")
-    back = pairs.select(
-        F.col("species_b").alias("species_a"), F.col("gene_b").alias("gene_a"),
-        F.col("species_a").alias("species_b"), F.col("gene_a").alias("gene_b"),
-    )
-    both = forward.unionByName(back).distinct()
-    partner = both.groupBy("species_b", "gene_b", "species_a").agg(F.count(F.lit(1)).alias("n_back"))
-    per_gene = both.join(partner, ["species_b", "gene_b", "species_a"]).groupBy(
-        "species_a", "species_b", "gene_a"
-    ).agg(F.count(F.lit(1)).alias("n_out"), F.max("n_back").alias("n_back"))
+    names = ["species_a", "gene_a", "species_b", "gene_b"]
+    # Both directions of a row are made where it is: the pairs, however they come about, are computed once.
+    read = [F.struct(*[F.col(c).alias(n) for c, n in zip(cols, names)]) for cols in (names, [*names[2:], *names[:2]])]
+    both = pairs.select(F.explode(F.array(*read)).alias("p")).select("p.*")
+    side = ["species_b", "gene_b", "species_a"]
+    # No gene has more pairs than all that share its cell: few numbers say whether one is too much for a task.
+    cell = both.groupBy(F.pmod(F.xxhash64(*side), F.lit(GENE_CELLS)).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    if (cell.agg(F.max("n")).first()[0] or 0) <= MAX_GROUP_ROWS:
+        # As in a join, nothing is equal to NULL.
+        known = both.where(" and ".join(f"{c} is not null" for c in side))
+        met = known.repartition(*side).distinct().withColumn("n_back", F.count(F.lit(1)).over(Window.partitionBy(*side)))
+    else:
+        both = both.distinct()
+        met = both.join(both.groupBy(*side).agg(F.count(F.lit(1)).alias("n_back")), side)
+    per_gene = met.groupBy("species_a", "species_b", "gene_a").agg(F.count(F.lit(1)).alias("n_out"), F.max("n_back").alias("n_back"))
     several, shared = F.col("n_out") > 1, F.col("n_back") > 1
     return per_gene.groupBy("species_a", "species_b").agg(
         F.count_if(~several & ~shared).alias("one_to_one"),
