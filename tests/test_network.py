@@ -166,3 +166,14 @@ def test_ranks_are_the_same_for_small_and_large_groups(spark, rows, descending):
     assert small == large
     small, large = (rows(O.quantiles(df, ["g"], "v", {"q1": 0.25, "m": 0.5}, large=big)) for big in (False, True))
     assert small == large
+
+
+def test_ranks_of_many_rows_are_sorted_in_more_tasks(spark, rows, monkeypatch):
+    """The number of tasks follows the rows that were counted, not only the session; ranks stay."""
+    from traitweave.plans import ordering
+
+    df = spark.range(600).selectExpr("concat('t', id % 50) as t", "id % 7 as v").unionByName(spark.sql("select 't1' as t, cast(null as bigint) as v union all select null, 3"))
+    want = rows(ordering.average_rank(df, ["t"], "v"))
+    monkeypatch.setattr(ordering, "TASK_ROWS", 10)
+    found = ordering.average_rank(df, ["t"], "v")
+    assert found.rdd.getNumPartitions() >= 122 and rows(found) == want
