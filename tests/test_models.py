@@ -193,3 +193,30 @@ def test_copies_of_training_rows_are_not_made_in_python(spark, monkeypatch):
     few = N.nearest(queries, train, 3)
     monkeypatch.setattr(N, "CELLS", 100)
     assert sorted(few.collect()) == sorted(N.nearest(queries, train, 3).collect())
+
+
+def test_linear_models_pass_over_few_tasks(spark, rows_):
+    """Every step of an optimiser is a job: its tasks follow the rows, not the partitions."""
+    many = rows_.repartition(16).persist()
+    for est in (M.linear_svm(many.count(), max_iter=5), M.logistic(many.count(), max_iter=5).copy()):
+        spark.sparkContext.setJobGroup(est.uid, "fit")
+        est.fit(many)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        track = spark.sparkContext.statusTracker()
+        stages = [track.getStageInfo(s) for j in track.getJobIdsForGroup(est.uid) for s in track.getJobInfo(j).stageIds]
+        assert {s.numTasks for s in stages if s and "LossFunction" in s.name} == {1}
+    assert M.linear_svm(M.PASS_ROWS * 3 + 1).copy().tasks == 4
+
+
+def test_models_are_compared_side_by_side(rows_):
+    import threading
+
+    both = threading.Barrier(2, timeout=60)
+
+    class Waits(ES.AdaBoost):
+        def _fit(self, dataset):
+            both.wait()  # breaks if the other model is not being fitted
+            return super()._fit(dataset)
+
+    folds = with_folds(rows_, "label", "key", 2, 1).persist()
+    assert TU.compare_models(folds, {"a": Waits(1), "b": Waits(2)}, "fold").count() == 4

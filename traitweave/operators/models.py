@@ -31,6 +31,8 @@ from ..session import checkpointed
 DEPTH_LIMIT = 30
 # Poisson counts above this have a probability below 1e-12 for means up to 1.
 POISSON_TERMS = 16
+# Rows of a task of a linear model, which makes a job of every step of its optimiser.
+PASS_ROWS = 20_000
 
 
 def _depth(depth: int | None) -> int:
@@ -72,15 +74,36 @@ def gbt(n_estimators=20, learning_rate=0.1, subsample=1.0, max_depth=3, seed=42,
     )
 
 
+class _FewTasks:
+    """A fit makes hundreds of passes, each a job: in no more tasks than the rows fill."""
+
+    tasks = 1
+
+    def _fit(self, dataset: DataFrame):
+        return super()._fit(dataset.coalesce(self.tasks))
+
+    def of_rows(self, n_rows: int):
+        self.tasks = max(1, -(-n_rows // PASS_ROWS))
+        return self
+
+
+class _Logistic(_FewTasks, LogisticRegression):
+    pass
+
+
+class _LinearSVM(_FewTasks, LinearSVC):
+    pass
+
+
 def logistic(n_rows: int, C=1.0, max_iter=100, weight=None, **extra) -> LogisticRegression:
     """L2 penalty 1 / (C * n): MLlib averages the loss over the rows."""
     params = {"weightCol": weight} if weight else {}
-    return LogisticRegression(regParam=1.0 / (C * n_rows), elasticNetParam=0.0, maxIter=max_iter, **params, **extra)
+    return _Logistic(regParam=1.0 / (C * n_rows), elasticNetParam=0.0, maxIter=max_iter, **params, **extra).of_rows(n_rows)
 
 
 def linear_svm(n_rows: int, C=1.0, max_iter=100, weight=None, **extra) -> LinearSVC:
     params = {"weightCol": weight} if weight else {}
-    return LinearSVC(regParam=1.0 / (C * n_rows), maxIter=max_iter, **params, **extra)
+    return _LinearSVM(regParam=1.0 / (C * n_rows), maxIter=max_iter, **params, **extra).of_rows(n_rows)
 
 
 def mlp(n_features: int, n_classes: int = 2, hidden: int = 100, max_iter=100, seed=42, **extra):
