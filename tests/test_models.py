@@ -220,3 +220,28 @@ def test_models_are_compared_side_by_side(rows_):
 
     folds = with_folds(rows_, "label", "key", 2, 1).persist()
     assert TU.compare_models(folds, {"a": Waits(1), "b": Waits(2)}, "fold").count() == 4
+
+
+def test_blocks_are_fitted_side_by_side(wide):
+    import threading
+
+    both = threading.Barrier(2, timeout=60)
+
+    class Waits(ES.AdaBoost):
+        def _fit(self, dataset):
+            both.wait()  # breaks if the other block is not being fitted
+            return super()._fit(dataset)
+
+    found = ST.feature_block_curve(wide, "key", ["a", "b"], ["a", "b"], [2], 1, lambda run: Waits(1), 1)
+    assert sorted(r["random"] for r in found.collect()) == ["n", "y"]
+
+
+def test_shuffled_columns_take_few_buckets(spark, wide, monkeypatch):
+    """200 rows need one bucket a feature, not 4096; their new places are the same."""
+    asked = []
+    plain = ST.shuffle_features
+    monkeypatch.setattr(ST, "shuffle_features", lambda long, seed, rounds=1, digits=3: asked.append(digits) or plain(long, seed, rounds, digits))
+    few = ST.shuffle_columns(wide, "key", ["a", "c"], 3)
+    monkeypatch.setattr(ST, "shuffle_features", lambda long, seed, rounds=1, digits=3: plain(long, seed, rounds, 3))
+    many = ST.shuffle_columns(wide, "key", ["a", "c"], 3)
+    assert asked == [0] and few.orderBy("key").collect() == many.orderBy("key").collect()

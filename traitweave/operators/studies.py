@@ -19,7 +19,7 @@ from .evaluation import confusion, prediction_table, prf, r_squared
 from .ledger import Study
 from .models import oob_evaluate, rf_classifier, rf_regressor
 from .prep import preprocessor, to_vectors, with_balanced_weight
-from .sampling import holdout_n_per_class, shuffle_features, undersample, with_folds
+from .sampling import bucket_digits, holdout_n_per_class, shuffle_features, undersample, with_folds
 from .tuning import random_search
 
 def block_sizes(n: int) -> list[int]:
@@ -89,7 +89,7 @@ def shuffle_columns(df: DataFrame, key: str, cols: Sequence[str], seed) -> DataF
     """Permute each of the given columns on its own; other columns stay."""
     filled = df.select(F.col(key).alias("key"), *[F.col(c).cast("double").alias(c) for c in cols])
     long = filled.unpivot(["key"], list(cols), "feature", "value")
-    mixed = shuffle_features(long, seed).groupBy(F.col("key").alias(key)).pivot("feature", list(cols)).agg(F.max("value"))
+    mixed = shuffle_features(long, seed, digits=bucket_digits(df.count())).groupBy(F.col("key").alias(key)).pivot("feature", list(cols)).agg(F.max("value"))
     return df.drop(*cols).join(mixed, key)
 
 
@@ -98,19 +98,18 @@ def run_once(
 ) -> tuple[Model, DataFrame, DataFrame]:
     """Split off a tenth per class, balance, scale, fit: model, test rows, predictions."""
     parts = holdout_n_per_class(df, "label", key, None, f"{seed}:split")
-    train = undersample(parts.where("part = 'train'"), "label", key, f"{seed}:balance")
-    if shuffled:
-        train = shuffle_columns(train, key, [*cont, *cat], f"{seed}:shuffle")
+    balanced = undersample(parts.where("part = 'train'"), "label", key, f"{seed}:balance").persist()
+    train = shuffle_columns(balanced, key, [*cont, *cat], f"{seed}:shuffle").persist() if shuffled else balanced
     test = parts.where("part = 'test'")
-    train = train.persist()
     model = preprocessor(cont, cat, estimator).fit(train)
     train.unpersist()
+    balanced.unpersist()
     return model, test, prediction_table(model, test, key)
 
 
 def repeated_runs(
     df: DataFrame, key: str, cont: Sequence[str], cat: Sequence[str], estimators: dict[str, Estimator], runs: int, seed=42,
-    path: str | None = None, importances: str | None = None,
+    path: str | None = None, importances: str | None = None, parallelism: int = 4,
 ) -> DataFrame:
     """One score row per run and model; a run gives all models the same rows.
 
@@ -121,19 +120,19 @@ def repeated_runs(
     names = [*cont, *cat]
 
     def work(item: dict) -> DataFrame:
-        model, _, pred = run_once(df, key, cont, cat, estimators[item["model"]], f"{seed}:{item['run']}")
+        model, _, pred = run_once(df, key, cont, cat, estimators[item["model"]].copy(), f"{seed}:{item['run']}")
         if importances:
             table = importance_table(df.sparkSession, model, names)
             table.write.mode("overwrite").parquet(f"{importances}/run={item['run']}/model={item['model']}")
         return prf(confusion(pred))
 
     items = [{"run": run, "model": name} for run in range(runs) for name in estimators]
-    return Study(df.sparkSession, items, path).run(work).results()
+    return Study(df.sparkSession, items, path, parallelism).run(work).results()
 
 
 def feature_block_curve(
     df: DataFrame, key: str, ranking: Sequence[str], cont: Sequence[str], ks: Sequence[int] | None, runs: int,
-    make_estimator: Callable[[int], Estimator], seed=42, path: str | None = None,
+    make_estimator: Callable[[int], Estimator], seed=42, path: str | None = None, parallelism: int = 4,
 ) -> DataFrame:
     """Scores with the top k features for growing k (``block_sizes`` unless given),
     real and with shuffled features: a study under ``path``."""
@@ -150,7 +149,7 @@ def feature_block_curve(
 
     sizes = ks if ks is not None else block_sizes(len(ranking))
     items = [{"num_features": k, "run": run, "random": mixed} for k in sizes for run in range(runs) for mixed in "ny"]
-    return Study(df.sparkSession, items, path).run(work).results()
+    return Study(df.sparkSession, items, path, parallelism).run(work).results()
 
 
 def learning_curve(
