@@ -82,6 +82,41 @@ def test_nearest_against_brute_force(spark, monkeypatch, p, few):
         assert [x for _, x in sorted(got[i])] == want.tolist()
 
 
+def test_screened_distances_are_those_of_all_pairs():
+    """Copies, shifted, huge and tiny numbers, and rows without a distance."""
+    rng = np.random.default_rng(3)
+    for scale, shift in ((1, 0), (1e-3, 1e6), (1, 1e9), (1e150, 0), (1e-200, 0)):
+        a, b = (rng.normal(size=(n, 7)) * scale + shift for n in (600, 2300))
+        b[40:90], a[5], a[6], b[8, 2] = b[30], b[30], np.nan, np.inf
+        with np.errstate(all="ignore"):
+            dist = N.distances(a, b, 2)
+        dist[~np.isfinite(dist)] = np.inf
+        order = np.argsort(dist, axis=1, kind="stable")[:, :9]
+        least = np.take_along_axis(dist, order, axis=1)
+        known = np.isfinite(least)
+        row, col, found = N.closest((a, None), (b, None), 9)
+        assert row.tolist() == np.repeat(np.arange(600), known.sum(axis=1)).tolist()
+        assert col.tolist() == order[known].tolist() and found.tolist() == least[known].tolist()
+
+
+def test_many_queries_go_out_in_few_copies(spark, monkeypatch):
+    """A training row that all queries may need is sent once to each task's worth of them; a query without a distance takes no one's neighbours."""
+    monkeypatch.setattr(N, "FEW_QUERIES", 10)
+    monkeypatch.setattr(N, "BLOCK_ROWS", 16)
+    vecs = np.random.default_rng(6).normal(size=(600, 40))
+    vecs[3, 1] = np.nan
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "id LONG, vec ARRAY<DOUBLE>")
+    found = N.nearest(df.where("id < 200"), df.where("id >= 200"), 3)
+    moved = []
+    plain = type(df).repartitionById
+    monkeypatch.setattr(type(df), "repartitionById", lambda self, n, by: moved.append(self.count()) or plain(self, n, by))
+    again = N.nearest(df.where("id < 200"), df.where("id >= 200"), 3)
+    assert moved == [600] and sorted(again.collect()) == sorted(found.collect())
+    dist = np.linalg.norm(vecs[:200, None] - vecs[None, 200:], axis=2)
+    want = {(q, int(i) + 200, place + 1) for q in range(200) if q != 3 for place, i in enumerate(np.argsort(dist[q])[:3])}
+    assert {(r["query"], r["id"], r["place"]) for r in found.collect()} == want
+
+
 def test_nearest_excludes_self(spark):
     df = spark.createDataFrame([(i, [float(i)]) for i in range(6)], "id INT, vec ARRAY<DOUBLE>")
     got = {r["query"]: r["id"] for r in N.nearest(df, df, 1, exclude_self=True).collect()}
